@@ -34,8 +34,9 @@ COMMON = {
     "nl": "de het een en van in is op te dat die voor met niet aan zijn er ook zonder",
 }
 FALLBACK = "en"
-VOWELS = "(?i)[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœ]"
-CONSONANT_BREAK = "[^bcdfghjklmnpqrstvwxzßçñ]"
+VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœ"
+#: Runs of fewer than four count as three.
+CONSONANTS = "[bcdfghjklmnpqrstvwxzßçñ]{4,}"
 #: Words from which a phrase can be told from a label.
 LABEL_WORDS = 3
 
@@ -74,12 +75,10 @@ def statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
     out = out.withColumn("b", F.regexp_replace(F.regexp_replace(bare, r"[ \t\p{Z}]+", " "), r"^\s+|\s+$", ""))
     out = out.withColumn("w", _words(F.lower("b"))).withColumn("n", F.size("w")).withColumn("size", F.length(F.regexp_replace("b", r"\s+", "")))
     named = {lang: F.array(*[F.lit(x) for x in dict.fromkeys(words.split())]) for lang, words in COMMON.items()}
-    for lang, listed in named.items():
-        out = out.withColumn(f"c_{lang}", F.size(F.array_intersect("w", listed)))
-    best = F.greatest(*[F.col(f"c_{lang}") for lang in COMMON])
-    chosen = F.lit(FALLBACK)
-    for lang in reversed(list(COMMON)):
-        chosen = F.when((F.col(f"c_{lang}") == best) & (best > 0), F.lit(lang)).otherwise(chosen)
+    # most texts are settled by the fallback's words alone; the other lists are looked at for the rest only
+    hits = {lang: F.size(F.array_intersect("w", listed)) for lang, listed in named.items()}
+    ranked = F.array_max(F.array(*[F.struct(h.alias("h"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, h) in enumerate(hits.items())]))
+    chosen = F.when(hits[FALLBACK] >= 0.25 * F.col("n"), F.lit(FALLBACK)).otherwise(ranked["lang"])
     foreign = F.regexp_count("b", F.lit(r"[\p{L}&&[^\p{IsLatin}]]")) > 0.5 * F.col("size")
     chosen = F.when(foreign, F.lit("other")).otherwise(chosen)
     out = out.withColumn("language", chosen)
@@ -95,12 +94,14 @@ def statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = F.filter(F.split("b", r"[\r\n]+"), lambda x: F.trim(x) != "")
     return (
         out.withColumn("lines", lines)
+        .withColumn("joined", F.array_join("w", ""))
+        .withColumn("joined_by_space", F.array_join("w", " "))
         .select(
             "k",
             "language",
             "n",
             F.ln(words).alias("log_words"),
-            (F.length(F.array_join("w", "")) / words).cast("double").alias("mean_word_length"),
+            (F.length("joined") / words).cast("double").alias("mean_word_length"),
             (F.regexp_count("b", F.lit(r"[^\p{L}\p{N}\s.,;'’-]")) / size).alias("symbol_ratio"),
             (F.size(F.filter("w", lambda x: x.rlike(r"\p{N}"))) / words).alias("digit_word_share"),
             F.when(F.col("language") == "other", F.lit(0.4)).otherwise(F.length(F.replace("marks", F.lit("-"), F.lit(""))) / words).alias("common_share"),
@@ -109,8 +110,8 @@ def statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
             (F.lit(1.0) - F.size(F.array_distinct("w")) / words).alias("repeat_share"),
             (F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…。！？]\s*$"))) / F.greatest(F.size("lines"), F.lit(1))).cast("double").alias("line_end_share"),
             (F.ln(F.greatest(F.size("lines"), F.lit(1)).cast("double"))).alias("line_rate"),
-            F.when(F.col("language") == "other", F.lit(0.4)).otherwise(F.regexp_count("b", F.lit(VOWELS)) / F.greatest(F.regexp_count("b", F.lit(r"\p{L}")), F.lit(1))).alias("vowel_share"),
-            F.when(F.col("language") == "other", F.lit(2.0)).otherwise(F.coalesce(F.array_max(F.transform(F.split(F.lower("b"), CONSONANT_BREAK), lambda x: F.length(x))), F.lit(0)).cast("double")).alias("consonant_run"),
+            F.when(F.col("language") == "other", F.lit(0.4)).otherwise((F.length("joined") - F.length(F.translate("joined", VOWELS, ""))) / F.greatest(F.length("joined"), F.lit(1))).alias("vowel_share"),
+            F.when(F.col("language") == "other", F.lit(3.0)).otherwise(F.coalesce(F.array_max(F.transform(F.regexp_extract_all("joined_by_space", F.lit(CONSONANTS), 0), lambda x: F.length(x))), F.lit(3)).cast("double")).alias("consonant_run"),
         )
     )
 
