@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +65,32 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the session's Python workers import this package, wherever they run.
+
+    The package is put as an archive into the shared folder, once per application.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, f"{root.name}/{file.relative_to(root)}")
+    path = f"{shared_dir(spark).rstrip('/')}/lib/{root.name}-{sc.applicationId}.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    atexit.register(discard, spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared area; a stopped session is no error."""
     try:
