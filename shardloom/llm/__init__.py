@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules() -> list:
-    from . import p01_quality, p02_diverse, p03_mixture, p04_clusters, p05_neighbours, p06_cutoff, p08_encode, p09_packing, p10_level
+    from . import p01_quality, p02_diverse, p03_mixture, p04_clusters, p05_neighbours, p06_cutoff, p07_incremental, p08_encode, p09_packing, p10_level
 
-    return [p01_quality, p02_diverse, p03_mixture, p04_clusters, p05_neighbours, p06_cutoff, p08_encode, p09_packing, p10_level]
+    return [p01_quality, p02_diverse, p03_mixture, p04_clusters, p05_neighbours, p06_cutoff, p07_incremental, p08_encode, p09_packing, p10_level]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1,123 @@
+"""Navigable small-world graphs over unit vectors, searched with beams for many queries at once."""
+
+from __future__ import annotations
+
+import numpy as np
+
+#: Near links of a node, random long links, and links at most.
+NEAR, LONG, MOST = 10, 3, 20
+#: Up to so many nodes the near links are exact; later ones are searched for in the graph so far.
+EXACT = 3000
+
+
+def _top(s: np.ndarray, k: int) -> np.ndarray:
+    k = min(k, s.shape[1])
+    return np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
+
+
+def build(x: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Links of every node (n x MOST, -1 where there is none): nearest nodes, back links and a few long ones."""
+    n = len(x)
+    links = np.full((n, MOST), -1, "i4")
+    if n < 2:
+        return links
+    rng = np.random.default_rng(seed)
+    near = np.full((n, NEAR), -1, "i4")
+    first = min(n, EXACT)
+    for start in range(0, first, 1024):
+        s = x[start : min(start + 1024, first)] @ x[:first].T
+        s[np.arange(len(s)), np.arange(start, start + len(s))] = -2
+        found = _top(s, min(NEAR, first - 1))
+        near[start : start + len(s), : found.shape[1]] = found
+    _connect(links, near, 0, first, rng)
+    for start in range(first, n, 2048):
+        stop = min(start + 2048, n)
+        found, _ = search(x[:start], links[:start], x[start:stop], NEAR, 2 * NEAR)
+        s = x[start:stop] @ x[start:stop].T
+        np.fill_diagonal(s, -2)
+        inside = _top(s, min(NEAR // 2, stop - start - 1)) + start if stop - start > 1 else np.empty((stop - start, 0), "i8")
+        both = np.concatenate([inside, found], axis=1)[:, :NEAR]
+        near[start:stop, : both.shape[1]] = both
+        _connect(links, near, start, stop, rng)
+    return links
+
+
+def _connect(links: np.ndarray, near: np.ndarray, start: int, stop: int, rng: np.random.Generator) -> None:
+    """Near, long and back links for the nodes from start to stop; a full node replaces back links at random."""
+    links[start:stop, :NEAR] = near[start:stop]
+    links[start:stop, NEAR : NEAR + LONG] = rng.integers(0, stop, (stop - start, LONG))
+    to = near[start:stop].ravel()
+    come = np.repeat(np.arange(start, stop), NEAR)
+    ok = to >= 0
+    to, come = to[ok], come[ok]
+    links[to, rng.integers(NEAR + LONG, MOST, len(to))] = come
+
+
+def search(x: np.ndarray, links: np.ndarray, q: np.ndarray, k: int, beam: int, entries: int = 24, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """``ids, cosines`` (queries x k, -1 where there are fewer) by best-first search with a beam."""
+    n = len(x)
+    beam = max(min(beam, n), min(k, n))
+    ids = np.full((len(q), k), -1, "i8")
+    cos = np.full((len(q), k), -2, "f4")
+    entry = np.unique(np.linspace(0, n - 1, min(entries, n)).astype("i8"))
+    for at in range(0, len(q), block):
+        part = q[at : at + block]
+        rows = np.arange(len(part))
+        seen = np.zeros((len(part), n + 1), bool)
+        seen[:, entry] = True
+        seen[:, n] = True  # stands for no link
+        pool = np.tile(entry, (len(part), 1))
+        sim = part @ x[entry].T
+        done = np.zeros(pool.shape, bool)
+        live = rows
+        while len(live):
+            open_ = np.where(done[live], -3.0, sim[live])
+            # the two best that are not yet expanded
+            pick = _top(open_, 2)
+            good = np.take_along_axis(open_, pick, 1) > -2
+            lane = np.repeat(live, pick.shape[1]).reshape(pick.shape)
+            done[lane, pick] = True
+            found = links[np.where(good, np.take_along_axis(pool[live], pick, 1), 0)].astype("i8")
+            found = np.where(good[:, :, None], found, -1).reshape(len(live), -1)
+            found = np.where(found < 0, n, found)
+            fresh = ~seen[live[:, None], found]
+            seen[live[:, None], found] = True
+            found = np.where(fresh, found, n)
+            # one node twice in a row of links counts once
+            found.sort(axis=1)
+            found[:, 1:][found[:, 1:] == found[:, :-1]] = n
+            r, c = np.nonzero(found < n)
+            s = np.full(found.shape, -2, "f4")
+            if len(r):
+                s[r, c] = np.einsum("ij,ij->i", x[found[r, c]], part[live[r]])
+            all_sim = np.concatenate([sim[live], s], axis=1)
+            keep = _top(all_sim, beam)
+            new_sim = np.take_along_axis(all_sim, keep, 1)
+            new_pool = np.take_along_axis(np.concatenate([pool[live], found], axis=1), keep, 1)
+            new_done = np.take_along_axis(np.concatenate([done[live], s <= -2], axis=1), keep, 1)
+            if pool.shape[1] != new_pool.shape[1]:  # the first step sets the width
+                pool, sim, done = new_pool, new_sim, new_done
+            else:
+                pool[live], sim[live], done[live] = new_pool, new_sim, new_done
+            live = live[(~new_done & (new_sim > -2)).any(axis=1)]
+        best = _top(sim, k)
+        ids[at : at + block, : best.shape[1]] = np.where(np.take_along_axis(sim, best, 1) > -2, np.take_along_axis(pool, best, 1), -1)
+        cos[at : at + block, : best.shape[1]] = np.take_along_axis(sim, best, 1)
+    return ids, cos
+
+
+def tuned_beam(x: np.ndarray, links: np.ndarray, wanted: float = 0.95, sample: int = 48, beams: tuple[int, ...] = (12, 24, 48, 96)) -> int:
+    """The narrowest of ``beams`` that finds the nearest node of a sample of nodes, against exhaustive search."""
+    n = len(x)
+    if n <= beams[0]:
+        return beams[0]
+    at = np.linspace(0, n - 1, min(sample, n)).astype("i8")
+    s = x[at] @ x.T
+    s[np.arange(len(at)), at] = -2
+    truth = s.max(axis=1)
+    for beam in beams:
+        ids, cos = search(x, links, x[at], 2, beam)
+        cos = np.where(ids == at[:, None], -2, cos)
+        if (cos.max(axis=1) >= truth - 1e-5).mean() >= wanted:
+            return beam
+    return beams[-1]
