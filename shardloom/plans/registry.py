@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pool_queries
+
+
 def _modules() -> list:
-    return []
+    return [pool_queries]
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """The shards an expression of the boolean language selects."""
+    return pool_queries.QUERIES["dsl_top_pct_not_source"](spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
