@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..io import table
 from ..session import stage
-from .graph import components
+from ..operators.components import components
 from .shardtable import CURRENT_SQL, current_shards
 
 SCORES = ["diversity_score", "light_score", "aesthetic_avg", "caption_quality"]
