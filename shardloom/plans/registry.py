@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pool_queries
+from . import log_queries, pool_queries
 
 
 def _modules() -> list:
-    return [pool_queries]
+    return [pool_queries, log_queries]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
