@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,7 +30,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack_nibbles(packed: pd.Series, scale: pd.Series) -> pd.Series:
     """Two signed 4-bit values per byte, the low one first, times the scale; null for null."""
 
@@ -44,7 +45,7 @@ def unpack_nibbles(packed: pd.Series, scale: pd.Series) -> pd.Series:
     return pd.Series([one(d, s) for d, s in zip(packed, scale)])
 
 
-@F.pandas_udf("struct<packed: binary, scale: float>")
+@F.pandas_udf(T.StructType([T.StructField("packed", T.BinaryType()), T.StructField("scale", T.FloatType())]))
 def pack_nibbles(vectors: pd.Series) -> pd.DataFrame:
     """A vector of even length as signed 4-bit values: scale is the greatest magnitude by 7; null for null."""
     rows = []
