@@ -43,14 +43,17 @@ def _number(args: tuple, default: float) -> float:
 
 
 def _at_least(column: str, default: float, missing: float | None = None) -> Primitive:
-    value = _score(column) if missing is None else F.coalesce(_score(column), F.lit(missing))
-    return Primitive(lambda args, _: value >= F.lit(_number(args, default)), arguments=(0, 1))
+    def make(args: tuple, _) -> Column:
+        value = _score(column) if missing is None else F.coalesce(_score(column), F.lit(missing))
+        return value >= F.lit(_number(args, default))
+
+    return Primitive(make, arguments=(0, 1))
 
 
-def _rank_share(needs: str, default: float, fallback: Column | None = None) -> Primitive:
+def _rank_share(needs: str, default: float, fallback: Callable[[], Column] | None = None) -> Primitive:
     def make(args: tuple, _) -> Column:
         inside = top_share(F.col(f"{needs}_rank"), F.col(f"{needs}_total"), _number(args, default))
-        return inside if fallback is None else F.when(fallback, F.lit(True)).otherwise(inside)
+        return inside if fallback is None else F.when(fallback(), F.lit(True)).otherwise(inside)
 
     return Primitive(make, needs, (0, 1))
 
@@ -86,7 +89,7 @@ PRIMITIVES: dict[str, Primitive] = {
     "low_caption": Primitive(lambda args, _: F.coalesce(_score("caption_quality"), F.lit(0.0)) < F.lit(_number(args, 0.45)), arguments=(0, 1)),
     "hard_focus": _rank_share("hard", 50.0),
     "hard_mining_focus": _rank_share("hard", 50.0),
-    "high_diversity": _rank_share("diversity", 50.0, _none_scored()),
+    "high_diversity": _rank_share("diversity", 50.0, _none_scored),
     "source": Primitive(_source, arguments=(1, 1)),
     "src": Primitive(_source, arguments=(1, 1)),
     "campaign": Primitive(lambda args, resolve: resolve(str(args[0])), arguments=(1, 1)),
