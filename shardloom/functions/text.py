@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,17 +43,26 @@ def caption_quality(text: Column) -> Column:
     are taken off. Blank and null give 0, fewer than five words 0.1.
     """
     body = F.trim(F.coalesce(text, F.lit("")))
-    words = F.transform(tokens(body), lambda w: F.lower(w))
+    return let(body, lambda b: let(F.transform(tokens(b), lambda w: F.lower(w)), lambda words: _quality(b, words)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _quality(body: Column, words: Column) -> Column:
     n = F.size(words)
     length = F.when(n < 20, n / 20.0).when(n <= 80, F.lit(1.0)).otherwise(F.greatest(F.lit(0.3), 1.0 - (n - 80) / 200.0))
     lexical = F.size(F.array_distinct(words)) / n
     triples = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.slice(words, i, 3)))
-    penalty = F.when(n >= 3, (1.0 - F.size(F.array_distinct(triples)) / F.size(triples)) / 2.0).otherwise(F.lit(0.0))
+    penalty = F.when(n >= 3, let(triples, lambda t: (1.0 - F.size(F.array_distinct(t)) / F.size(t)) / 2.0)).otherwise(F.lit(0.0))
     low = F.lower(body)
+    marks = lambda c: F.length(body) - F.length(F.translate(body, c, ""))
     artefact = (
         F.when(low.startswith("http") | low.contains("www."), 0.4).otherwise(0.0)
         + F.when(low.rlike(r"\.(jpg|jpeg|png|gif|webp)"), 0.3).otherwise(0.0)
-        + F.when((F.length(body) - F.length(F.replace(body, F.lit("|"), F.lit(""))) > 3) | (F.length(body) - F.length(F.replace(body, F.lit("_"), F.lit(""))) > 5), 0.2).otherwise(0.0)
+        + F.when((marks("|") > 3) | (marks("_") > 5), 0.2).otherwise(0.0)
     )
     score = 0.4 * length + 0.4 * lexical - penalty - artefact
     return F.when(n == 0, F.lit(0.0)).when(n < 5, F.lit(0.1)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
