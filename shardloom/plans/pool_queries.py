@@ -101,11 +101,11 @@ _strategy(
     "vr AS (SELECT shard_id, row_number() OVER (ORDER BY coalesce(training_loss_normalized, 1 - coalesce(light_score, 0)) DESC, shard_id) AS r, count(*) OVER () AS n FROM pool WHERE final_value_score > 0)",
 )
 
-QUERIES["diversity_weighted"] = lambda spark, folder: P.diversity_weighted(_pool(spark, folder)).select("shard_id", F.round("reweighted", 4).alias("reweighted"))
+QUERIES["diversity_weighted"] = lambda spark, folder: P.diversity_weighted(_pool(spark, folder)).select("shard_id", F.round("reweighted", 10).alias("reweighted"))
 SQL["diversity_weighted"] = f"""WITH {POOL_SQL}, w AS (
   SELECT shard_id, CASE WHEN diversity_score IS NULL THEN 0 ELSE 0.3 END AS a, CASE WHEN light_score IS NULL THEN 0 ELSE 0.455 END AS b,
          CASE WHEN training_loss_normalized IS NULL THEN 0 ELSE 0.245 END AS c, coalesce(diversity_score, 0) AS d, coalesce(light_score, 0) AS l, coalesce(training_loss_normalized, 0) AS t FROM pool)
-SELECT shard_id, CASE WHEN a + b + c > 0 THEN round((d * 0.3 + l * 0.455 + t * 0.245) / (a + b + c)::DOUBLE, 4) END AS reweighted FROM w"""
+SELECT shard_id, CASE WHEN a + b + c > 0 THEN round((d * 0.3 + l * 0.455 + t * 0.245) / (a + b + c)::DOUBLE, 10) END AS reweighted FROM w"""
 
 
 def manifest_diff(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,17 +131,17 @@ def manifest_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of the included shards: extremes, mean, 10th and 90th value by index, median."""
     pool = P.top_percent(_pool(spark, folder), 60).where("decision = 'include'")
     # scores in steps of their value with counts: the array is as long as there are distinct scores of one source
-    per = pool.groupBy("source").agg(F.array_sort(F.collect_list("final_value_score")).alias("v"), F.round(F.avg("final_value_score"), 4).alias("mean"), F.round(F.median("final_value_score"), 4).alias("median"))
+    per = pool.groupBy("source").agg(F.array_sort(F.collect_list("final_value_score")).alias("v"), F.round(F.avg("final_value_score"), 10).alias("mean"), F.round(F.median("final_value_score"), 10).alias("median"))
     n = F.size("v")
-    at = lambda share: F.round(F.element_at("v", F.least(n, F.floor(n * share).cast("int") + 1)), 4)
-    return per.select("source", n.cast("bigint").alias("n"), "mean", "median", at(0.1).alias("p10"), at(0.9).alias("p90"), F.round(F.array_min("v"), 4).alias("low"), F.round(F.array_max("v"), 4).alias("high"))
+    at = lambda share: F.round(F.element_at("v", F.least(n, F.floor(n * share).cast("int") + 1)), 10)
+    return per.select("source", n.cast("bigint").alias("n"), "mean", "median", at(0.1).alias("p10"), at(0.9).alias("p90"), F.round(F.array_min("v"), 10).alias("low"), F.round(F.array_max("v"), 10).alias("high"))
 
 
 QUERIES["manifest_stats"] = manifest_stats
 SQL["manifest_stats"] = f"""WITH {POOL_SQL}, {VALUE_RANK},
 g AS (SELECT source, list_sort(list(final_value_score)) AS v, avg(final_value_score) AS m, median(final_value_score) AS md FROM pool JOIN vr USING (shard_id) WHERE r <= greatest(1, floor(n * 0.6)) GROUP BY source)
-SELECT source, len(v) AS n, round(m, 4) AS mean, round(md, 4) AS median, round(v[floor(len(v) * 0.1)::INT + 1], 4) AS p10, round(v[floor(len(v) * 0.9)::INT + 1], 4) AS p90,
-  round(list_min(v), 4) AS low, round(list_max(v), 4) AS high FROM g"""
+SELECT source, len(v) AS n, round(m, 10) AS mean, round(md, 10) AS median, round(v[floor(len(v) * 0.1)::INT + 1], 10) AS p10, round(v[floor(len(v) * 0.9)::INT + 1], 10) AS p90,
+  round(list_min(v), 10) AS low, round(list_max(v), 10) AS high FROM g"""
 
 
 def source_rollup(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,18 +150,18 @@ def source_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return pool.groupBy("source").agg(
         F.count(F.lit(1)).alias("shards"),
         F.sum("file_size_bytes").alias("bytes"),
-        *[F.round(F.avg(c), 4).alias(f"avg_{c}") for c in ("light_score", "aesthetic_avg", "caption_quality", "final_value_score")],
+        *[F.round(F.avg(c), 10).alias(f"avg_{c}") for c in ("light_score", "aesthetic_avg", "caption_quality", "final_value_score")],
         F.count_if(F.coalesce("light_decision", F.lit("keep")) != "discard").alias("kept"),
-        F.round(F.avg(F.when(F.col("has_unified") != 0, F.col("diversity_score"))), 4).alias("unified_diversity"),
-        F.round(F.count(F.lit(1)) / F.lit(1.0), 4).alias("weight"),
+        F.round(F.avg(F.when(F.col("has_unified") != 0, F.col("diversity_score"))), 10).alias("unified_diversity"),
+        F.round(F.count(F.lit(1)) / F.lit(1.0), 10).alias("weight"),
     )
 
 
 QUERIES["source_rollup"] = source_rollup
 SQL["source_rollup"] = f"""WITH {POOL_SQL}
-SELECT source, count(*) AS shards, sum(file_size_bytes)::BIGINT AS bytes, round(avg(light_score), 4) AS avg_light_score, round(avg(aesthetic_avg), 4) AS avg_aesthetic_avg,
-  round(avg(caption_quality), 4) AS avg_caption_quality, round(avg(final_value_score), 4) AS avg_final_value_score,
-  count(*) FILTER (coalesce(light_decision, 'keep') <> 'discard') AS kept, round(avg(diversity_score) FILTER (has_unified <> 0), 4) AS unified_diversity, round(count(*) / 1.0, 4) AS weight
+SELECT source, count(*) AS shards, sum(file_size_bytes)::BIGINT AS bytes, round(avg(light_score), 10) AS avg_light_score, round(avg(aesthetic_avg), 10) AS avg_aesthetic_avg,
+  round(avg(caption_quality), 10) AS avg_caption_quality, round(avg(final_value_score), 10) AS avg_final_value_score,
+  count(*) FILTER (coalesce(light_decision, 'keep') <> 'discard') AS kept, round(avg(diversity_score) FILTER (has_unified <> 0), 10) AS unified_diversity, round(count(*) / 1.0, 10) AS weight
 FROM pool GROUP BY source"""
 
 
@@ -186,7 +186,7 @@ def unified_score(spark: SparkSession, folder: str) -> DataFrame:
     scaled = F.lit(0.5) if low is None or low == high else (F.col("training_loss_normalized") - low) / (high - low)
     loss = F.when(F.col("training_loss_normalized").isNotNull(), scaled)
     value = redistribute([(F.col("light_score"), 0.35), (F.col("aesthetic_avg"), 0.15), (F.col("caption_quality"), 0.15), (F.col("diversity_score"), 0.15), (loss, 0.2)], 1.0)
-    return pool.select("shard_id", F.round(clamp(value), 4).alias("unified"))
+    return pool.select("shard_id", F.round(clamp(value), 10).alias("unified"))
 
 
 QUERIES["unified_score"] = unified_score
@@ -195,7 +195,7 @@ mm AS (SELECT min(training_loss_normalized) AS lo, max(training_loss_normalized)
 p AS (SELECT shard_id, [light_score, aesthetic_avg, caption_quality, diversity_score, CASE WHEN training_loss_normalized IS NOT NULL THEN CASE WHEN lo = hi THEN 0.5 ELSE (training_loss_normalized - lo) / (hi - lo) END END] AS v,
   [0.35::DOUBLE, 0.15, 0.15, 0.15, 0.2] AS w FROM pool, mm),
 s AS (SELECT shard_id, list_sum([CASE WHEN v[i] IS NULL THEN 0 ELSE w[i] END FOR i IN [1, 2, 3, 4, 5]]) AS have, list_sum([coalesce(v[i] * w[i], 0) FOR i IN [1, 2, 3, 4, 5]]) AS val FROM p)
-SELECT shard_id, CASE WHEN have > 0 THEN round(greatest(0, least(1, val / have)), 4) END AS unified FROM s"""
+SELECT shard_id, CASE WHEN have > 0 THEN round(greatest(0, least(1, val / have)), 10) END AS unified FROM s"""
 
 
 def index_percentiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,12 +203,12 @@ def index_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     from ..functions.numeric import index_percentile
 
     per = _pool(spark, folder).where("light_score IS NOT NULL").groupBy("source").agg(F.array_sort(F.collect_list("light_score")).alias("v"))
-    return per.select("source", *[F.round(index_percentile(F.col("v"), s), 4).alias(f"p{int(s * 100)}") for s in (0.25, 0.5, 0.75)])
+    return per.select("source", *[F.round(index_percentile(F.col("v"), s), 10).alias(f"p{int(s * 100)}") for s in (0.25, 0.5, 0.75)])
 
 
 QUERIES["index_percentiles"] = index_percentiles
 SQL["index_percentiles"] = f"""WITH {POOL_SQL}, g AS (SELECT source, list_sort(list(light_score)) AS v FROM pool WHERE light_score IS NOT NULL GROUP BY source)
-SELECT source, round(v[floor(len(v) * 0.25)::INT + 1], 4) AS p25, round(v[floor(len(v) * 0.5)::INT + 1], 4) AS p50, round(v[floor(len(v) * 0.75)::INT + 1], 4) AS p75 FROM g"""
+SELECT source, round(v[floor(len(v) * 0.25)::INT + 1], 10) AS p25, round(v[floor(len(v) * 0.5)::INT + 1], 10) AS p50, round(v[floor(len(v) * 0.75)::INT + 1], 10) AS p75 FROM g"""
 
 
 def light_pool_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,13 +220,13 @@ def light_pool_report(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.round(share * 100, 2).alias("kept_pct"),
         F.when(share < 0.5, "strict").when(share > 0.95, "lenient").otherwise("even").alias("judgement"),
-        F.round(F.avg("light_score"), 4).alias("mean_light"),
+        F.round(F.avg("light_score"), 10).alias("mean_light"),
     )
 
 
 QUERIES["light_pool_report"] = light_pool_report
 SQL["light_pool_report"] = f"""WITH {POOL_SQL}, g AS (SELECT source, count(*) AS n, count(*) FILTER (coalesce(light_decision, 'keep') <> 'discard') / count(*) AS s, avg(light_score) AS m FROM pool GROUP BY source)
-SELECT source, n, round(s * 100, 2) AS kept_pct, CASE WHEN s < 0.5 THEN 'strict' WHEN s > 0.95 THEN 'lenient' ELSE 'even' END AS judgement, round(m, 4) AS mean_light FROM g"""
+SELECT source, n, round(s * 100, 2) AS kept_pct, CASE WHEN s < 0.5 THEN 'strict' WHEN s > 0.95 THEN 'lenient' ELSE 'even' END AS judgement, round(m, 10) AS mean_light FROM g"""
 
 
 def unified_pool_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,16 +234,16 @@ def unified_pool_report(spark: SparkSession, folder: str) -> DataFrame:
     pool = _pool(spark, folder)
     unified = F.col("has_unified") != 0
     return pool.groupBy("source").agg(
-        F.round(F.avg(F.when(unified, 1.0).otherwise(0.0)), 4).alias("coverage"),
-        F.round(F.avg(F.when(unified & F.col("training_loss_normalized").isNotNull(), 1.0).otherwise(0.0)), 4).alias("with_loss"),
-        F.round(F.avg(F.col("final_value_score") - F.col("light_score")), 4).alias("gap"),
+        F.round(F.avg(F.when(unified, 1.0).otherwise(0.0)), 10).alias("coverage"),
+        F.round(F.avg(F.when(unified & F.col("training_loss_normalized").isNotNull(), 1.0).otherwise(0.0)), 10).alias("with_loss"),
+        F.round(F.avg(F.col("final_value_score") - F.col("light_score")), 10).alias("gap"),
     )
 
 
 QUERIES["unified_pool_report"] = unified_pool_report
 SQL["unified_pool_report"] = f"""WITH {POOL_SQL}
-SELECT source, round(avg(CASE WHEN has_unified <> 0 THEN 1.0 ELSE 0.0 END), 4) AS coverage, round(avg(CASE WHEN has_unified <> 0 AND training_loss_normalized IS NOT NULL THEN 1.0 ELSE 0.0 END), 4) AS with_loss,
-  round(avg(final_value_score - light_score), 4) AS gap FROM pool GROUP BY source"""
+SELECT source, round(avg(CASE WHEN has_unified <> 0 THEN 1.0 ELSE 0.0 END), 10) AS coverage, round(avg(CASE WHEN has_unified <> 0 AND training_loss_normalized IS NOT NULL THEN 1.0 ELSE 0.0 END), 10) AS with_loss,
+  round(avg(final_value_score - light_score), 10) AS gap FROM pool GROUP BY source"""
 
 
 def index_vs_previous(spark: SparkSession, folder: str) -> DataFrame:
