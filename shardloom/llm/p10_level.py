@@ -89,13 +89,11 @@ def text_measures(docs: DataFrame, key: str, text: str) -> DataFrame:
 def word_ranks(measured: DataFrame) -> DataFrame:
     """``word, rank`` over all documents, 1 the most frequent; ties in order of the word.
 
-    Ranks are counted in two steps, by frequency and inside it, so that no task
-    holds the whole vocabulary but for words of the same frequency, which are
-    numbered by hash range.
+    Ranks are counted in two steps, by frequency and first letters and inside
+    those, so that no task holds the whole vocabulary.
     """
     counts = stage(measured.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
-    part = F.when(F.col("n") <= 8, F.pmod(F.xxhash64("word"), F.lit(256))).otherwise(0)
-    keyed = counts.withColumn("part", part)
+    keyed = counts.withColumn("part", F.substring("word", 1, 2))
     steps = keyed.groupBy("n", "part").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = steps.select("n", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
