@@ -8,6 +8,8 @@ import numpy as np
 NEAR, LONG, MOST = 10, 3, 20
 #: Up to so many nodes the near links are exact; later ones are searched for in the graph so far.
 EXACT = 3000
+#: Shards of up to so many nodes are searched as a whole and need no links.
+EXHAUSTIVE = 400
 
 
 def _top(s: np.ndarray, k: int) -> np.ndarray:
@@ -19,7 +21,7 @@ def build(x: np.ndarray, seed: int = 7) -> np.ndarray:
     """Links of every node (n x MOST, -1 where there is none): nearest nodes, back links and a few long ones."""
     n = len(x)
     links = np.full((n, MOST), -1, "i4")
-    if n < 2:
+    if n <= EXHAUSTIVE:
         return links
     rng = np.random.default_rng(seed)
     near = np.full((n, NEAR), -1, "i4")
@@ -56,6 +58,13 @@ def _connect(links: np.ndarray, near: np.ndarray, start: int, stop: int, rng: np
 def search(x: np.ndarray, links: np.ndarray, q: np.ndarray, k: int, beam: int, entries: int = 24, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """``ids, cosines`` (queries x k, -1 where there are fewer) by best-first search with a beam."""
     n = len(x)
+    if n <= EXHAUSTIVE:  # a beam would visit most of so few nodes
+        s = q @ x.T
+        best = _top(s, k)
+        ids = np.full((len(q), k), -1, "i8")
+        cos = np.full((len(q), k), -2, "f4")
+        ids[:, : best.shape[1]], cos[:, : best.shape[1]] = best, np.take_along_axis(s, best, 1)
+        return ids, cos
     beam = max(min(beam, n), min(k, n))
     ids = np.full((len(q), k), -1, "i8")
     cos = np.full((len(q), k), -2, "f4")
@@ -109,7 +118,7 @@ def search(x: np.ndarray, links: np.ndarray, q: np.ndarray, k: int, beam: int, e
 def tuned_beam(x: np.ndarray, links: np.ndarray, wanted: float = 0.95, sample: int = 48, beams: tuple[int, ...] = (12, 24, 48, 96)) -> int:
     """The narrowest of ``beams`` that finds the nearest node of a sample of nodes, against exhaustive search."""
     n = len(x)
-    if n <= beams[0]:
+    if n <= max(beams[0], EXHAUSTIVE):
         return beams[0]
     at = np.linspace(0, n - 1, min(sample, n)).astype("i8")
     s = x[at] @ x.T
