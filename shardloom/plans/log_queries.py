@@ -54,11 +54,11 @@ def role_means(spark, folder):
     return out.withColumn("included_mean", F.round("included_mean", 4)).withColumn("excluded_mean", F.round("excluded_mean", 4))
 
 
-@query(f"""WITH {LOG}, o AS (SELECT shard, cond_gap AS v, row_number() OVER (PARTITION BY shard ORDER BY iteration, l_orderkey, l_linenumber) AS i, count(*) OVER (PARTITION BY shard) AS c FROM log WHERE source = 3)
+@query(f"""WITH {LOG}, o AS (SELECT shard, cond_gap AS v, row_number() OVER (PARTITION BY shard ORDER BY iteration, l_orderkey, l_linenumber) AS i, count(*) OVER (PARTITION BY shard) AS c FROM log)
 SELECT o.shard, max(o.c) AS n, round(list_reduce(list_prepend(NULL::DOUBLE, list(v ORDER BY i)), lambda a, x, i: CASE WHEN x IS NULL THEN a WHEN a IS NULL THEN x ELSE a + (x - a) / (i - 1) END), 4) AS mean
 FROM o GROUP BY o.shard""")
 def running_mean(spark, folder):
-    out = A.running_fold(_log(spark, folder).where("source = 3"), ["shard"], ["iteration", "l_orderkey", "l_linenumber"], "cond_gap")
+    out = A.running_fold(_log(spark, folder), ["shard"], ["iteration", "l_orderkey", "l_linenumber"], "cond_gap")
     return out.withColumn("mean", F.round("mean", 4))
 
 
@@ -145,10 +145,10 @@ def hard_examples_topk(spark, folder):
     return table(spark, folder, "lineitem").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(50).select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 2).alias("loss"))
 
 
-@query(f"WITH {LOG}, s AS (SELECT shard, count(*) FILTER (role = 'included') AS k FROM log WHERE campaign = 1996 GROUP BY shard) SELECT least(k, 3) AS scored, count(*) AS shards FROM s GROUP BY 1")
+@query(f"WITH {LOG}, s AS (SELECT campaign, shard, count(*) FILTER (role = 'included') AS k FROM log GROUP BY 1, 2) SELECT campaign, least(k, 3) AS scored, count(*) AS shards FROM s GROUP BY 1, 2")
 def scored_histogram(spark, folder):
-    s = _log(spark, folder).where("campaign = 1996").groupBy("shard").agg(F.count_if(F.col("role") == "included").alias("k"))
-    return s.groupBy(F.least("k", F.lit(3)).alias("scored")).agg(F.count(F.lit(1)).alias("shards"))
+    s = _log(spark, folder).groupBy("campaign", "shard").agg(F.count_if(F.col("role") == "included").alias("k"))
+    return s.groupBy("campaign", F.least("k", F.lit(3)).alias("scored")).agg(F.count(F.lit(1)).alias("shards"))
 
 
 @query(f"WITH {LOG}, f AS (SELECT shard, min(iteration) AS i FROM log GROUP BY shard) SELECT strftime(i, '%Y-%m') AS iteration, count(*) AS first_contacts FROM f GROUP BY 1")
@@ -272,14 +272,13 @@ def status_histogram(spark, folder):
     return o.select("o_custkey", F.col("F").alias("done"), F.col("O").alias("open"), F.col("P").alias("pending"), F.col("X").alias("failed"))
 
 
-@query("""WITH n AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders), first AS (SELECT l_suppkey AS shard, min((n.o_orderdate, n.o_orderkey)) AS f FROM lineitem JOIN n ON l_orderkey = n.o_orderkey WHERE o_custkey = 7 GROUP BY 1)
-SELECT shard, row_number() OVER (ORDER BY f, shard) AS place FROM first""")
+@query("""WITH first AS (SELECT o_custkey, l_suppkey AS shard, min((o_orderdate, o_orderkey)) AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT o_custkey, shard, row_number() OVER (PARTITION BY o_custkey ORDER BY f, shard) AS place FROM first""")
 def consumed_in_order(spark, folder):
-    """Shards one campaign consumed, in the order first seen."""
-    o = table(spark, folder, "orders").where("o_custkey = 7")
-    l = table(spark, folder, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    first = l.groupBy(F.col("l_suppkey").alias("shard")).agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("f"))
-    return first.select("shard", F.row_number().over(Window.partitionBy(F.lit(7)).orderBy("f", "shard")).cast("bigint").alias("place"))
+    """Shards each campaign consumed, in the order first seen."""
+    l = table(spark, folder, "lineitem").join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    first = l.groupBy("o_custkey", F.col("l_suppkey").alias("shard")).agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("f"))
+    return first.select("o_custkey", "shard", F.row_number().over(Window.partitionBy("o_custkey").orderBy("f", "shard")).cast("bigint").alias("place"))
 
 
 # metric events
