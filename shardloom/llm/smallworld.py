@@ -17,21 +17,29 @@ def _top(s: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
 
 
-def build(x: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Links of every node (n x MOST, -1 where there is none): nearest nodes, back links and a few long ones."""
+def build(x: np.ndarray, links_so_far: np.ndarray | None = None, seed: int = 7) -> np.ndarray:
+    """Links of every node (n x MOST, -1 where there is none): nearest nodes, back links and a few long ones.
+
+    With the links of the first nodes given, only the later ones are linked in.
+    """
     n = len(x)
     links = np.full((n, MOST), -1, "i4")
     if n <= EXHAUSTIVE:
         return links
     rng = np.random.default_rng(seed)
     near = np.full((n, NEAR), -1, "i4")
-    first = min(n, EXACT)
-    for start in range(0, first, 1024):
+    done = 0
+    if links_so_far is not None and len(links_so_far) > EXHAUSTIVE:
+        done = len(links_so_far)
+        links[:done] = links_so_far
+    first = min(n, EXACT) if not done else done
+    for start in range(0, 0 if done else first, 1024):
         s = x[start : min(start + 1024, first)] @ x[:first].T
         s[np.arange(len(s)), np.arange(start, start + len(s))] = -2
         found = _top(s, min(NEAR, first - 1))
         near[start : start + len(s), : found.shape[1]] = found
-    _connect(links, near, 0, first, rng)
+    if not done:
+        _connect(links, near, 0, first, rng)
     for start in range(first, n, 2048):
         stop = min(start + 2048, n)
         found, _ = search(x[:start], links[:start], x[start:stop], NEAR, 2 * NEAR)
