@@ -55,12 +55,13 @@ def search(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, belo
             for batch in batches:
                 if not len(batch):
                     continue
+                batch = batch.sort_values(key)  # with a stable sort, ties come in order of key
                 others = batch[key].to_numpy()
                 s = q @ _unit(batch[vec]).T
                 s[ids[:, None] == others[None, :]] = -2
                 if below is not None:
                     s[s > below] = -2
-                top = np.argsort(-s.round(9), axis=1, kind="stable")[:, : k + 8]
+                top = np.argsort(-s.round(9), axis=1, kind="stable")[:, :k]
                 rows = np.repeat(np.arange(len(ids)), top.shape[1])
                 cos = s[rows, top.ravel()].round(9)
                 keep = cos > -1.5

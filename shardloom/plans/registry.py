@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation_queries, data_queries, log_queries, pool_queries, stream_queries
+from . import comparison_queries, curation_queries, data_queries, log_queries, pool_queries, stream_queries
 
 
 def _modules() -> list:
-    return [pool_queries, log_queries, data_queries, stream_queries, curation_queries]
+    return [pool_queries, log_queries, data_queries, stream_queries, curation_queries, comparison_queries]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
