@@ -47,7 +47,7 @@ def near_duplicates(new: DataFrame, kept: DataFrame, key: str, vec: str, order:
         found = base.mapInPandas(run, "a string, b string, fixed boolean, cos double")
         edges = found if edges is None else edges.union(found)
     if edges is None:
-        return spark.createDataFrame([], f"{key} string, of string, cos double")
+        edges = spark.createDataFrame([], "a string, b string, fixed boolean, cos double")
     edges = stage(edges, "near")
     state = stage(edges.select("a").union(edges.where("NOT fixed").select("b")).distinct().select(F.col("a").alias("k"), F.lit("open").alias("state")), "state")
     while not state.where("state = 'open'").isEmpty():
@@ -57,7 +57,9 @@ def near_duplicates(new: DataFrame, kept: DataFrame, key: str, vec: str, order:
         state = stage(state.join(by, "k", "left").select("k", now.alias("state")), "state")
     good = state.where("state = 'kept'").select(F.col("k").alias("b"), F.lit(True).alias("ok"))
     hits = edges.join(state.where("state = 'refused'").select(F.col("k").alias("a")), "a").join(good, "b", "left").where("fixed OR ok")
-    return hits.groupBy(F.col("a").alias(key)).agg(F.max(F.struct("cos", "b")).alias("m")).select(key, F.col("m.b").alias("of"), F.col("m.cos").alias("cos"))
+    out = stage(hits.groupBy(F.col("a").alias("k")).agg(F.max(F.struct("cos", "b")).alias("m")).select("k", F.col("m.b").alias("of"), F.col("m.cos").alias("cos")), "hits")
+    rest = copies.join(out.select(F.col("k").alias("head"), "of", "cos"), "head", "left").select("k", F.coalesce("of", "head").alias("of"), F.coalesce("cos", F.lit(1.0)).alias("cos"))
+    return out.union(rest).withColumnRenamed("k", key)
 
 
 def weighted_decisions(scores: DataFrame, weights: DataFrame, group: str, signals: list[str]) -> DataFrame:

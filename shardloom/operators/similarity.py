@@ -95,13 +95,7 @@ def threshold_classes(df: DataFrame, key: str, vec: str, least: float, block: in
         left = np.flatnonzero((part["b"] == part["b1"]).to_numpy())
         right = left if one else np.flatnonzero((part["b"] != part["b1"]).to_numpy())
         links = np.zeros(len(ids), "i8")
-        root = np.arange(len(ids))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
+        label = np.arange(len(ids))
 
         for start in range(0, len(left), 1024):
             rows_ = left[start : start + 1024]
@@ -110,11 +104,16 @@ def threshold_classes(df: DataFrame, key: str, vec: str, least: float, block: in
             links[rows_] += hit.sum(axis=1)
             if not one:
                 links[right] += hit.sum(axis=0)
-            for r, c in zip(*np.nonzero(hit)):
-                a, b = find(rows_[r]), find(right[c])
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-        roots = [find(i) for i in range(len(ids))]
+            for r, row in enumerate(rows_):
+                met = label[right[hit[r]]]
+                if len(met) and (met != label[row]).any():  # among copies only the first row gets here
+                    joined = np.append(np.unique(met), label[row])
+                    label[np.isin(label, joined)] = joined.min()
+        # the class's first key in the task
+        first = np.full(len(ids), len(ids))
+        order = np.argsort(ids, kind="stable")
+        np.minimum.at(first, label[order], np.arange(len(ids)))
+        roots = order[first[label]]
         return pd.DataFrame({"k": ids, "root": ids[roots], "links": links})
 
     local = stage(tasks.groupBy("b1", "b2").applyInPandas(run, "k string, root string, links bigint"), "local")

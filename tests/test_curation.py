@@ -23,6 +23,9 @@ def test_near_duplicates_against_a_loop(spark):
     df = spark.createDataFrame([(i, x[i].tolist()) for i in range(120)] + [(500, None)], "id bigint, v array<float>").withColumn("o", F.col("id"))
     got = {r.id: r.of for r in C.near_duplicates(df.where("id >= 15"), df.where("id < 15"), "id", "v", "o", 0.97, block=40).collect()}
     assert got == {k: str(v) for k, v in want.items()}
+    many = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)] + [(900, [2.0, -1.0])], "id bigint, v array<float>").withColumn("o", F.col("id"))
+    got = C.near_duplicates(many, many.limit(0), "id", "v", "o").collect()
+    assert len(got) == 299 and {r.of for r in got} == {"0"}
     assert C.near_duplicates(df.limit(0), df, "id", "v", "o").count() == 0
 
 
