@@ -160,6 +160,20 @@ def test_neighbours_against_brute_force(table_of_vectors, block):
     assert sum(len(want[k] & got[k]) for k in want) / (5 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("block", [12_000, 700])
+def test_neighbours_of_copies(spark, block):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((5, 64))
+    rows = [(f"c{i:05d}", (x[0] * (1 + i % 3)).astype("f4").tolist()) for i in range(2000)] + [(f"d{i}", (x[1 + i % 4] + 0.1 * rng.standard_normal(64)).astype("f4").tolist()) for i in range(40)]
+    df = spark.createDataFrame([(k, v, 1) for k, v in rows], "rec_id string, vec array<float>, encoded_at int")
+    got = collections.defaultdict(list)
+    for r in NB.top_neighbours(usable_vectors(df), block=block, window=100).orderBy("rec", "place").collect():
+        got[r.rec].append(r.other)
+    first = [f"c{i:05d}" for i in range(6)]
+    for k in ("c00000", "c00003", "c01999"):
+        assert got[k] == [f for f in first if f != k][:5]
+
+
 def test_addresses():
     same = ["https://www.A.example:443/x/../p/./q.JPG?b=2&a=1&utm_source=z#top", "http://a.example/p/%71.JPG?a=1&b=2", "//A.EXAMPLE/p//q.JPG?a=1&b=2&gclid=5"]
     assert len({C.resource(s) for s in same}) == 1
