@@ -26,8 +26,12 @@ def near_duplicates(new: DataFrame, kept: DataFrame, key: str, vec: str, order:
     spark = new.sparkSession
     n = usable(new, vec).select(F.col(key).cast("string").alias("k"), F.col(vec).alias("v"), F.col(order).cast("double").alias("o"))
     old = usable(kept, vec).select(F.col(key).cast("string").alias("k"), F.col(vec).alias("v"), F.lit(float("-inf")).alias("o"))
-    base = stage(old.union(n), "base")
-    asked = stage(n, "asked")
+    every = stage(old.union(n).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.hash("v")), "every")
+    heads = stage(every.groupBy("h1", "h2").agg(F.min(F.struct("o", "k")).alias("m")).select("h1", "h2", F.col("m.k").alias("head")), "heads")
+    placed = every.join(heads, ["h1", "h2"])
+    base = stage(placed.where("k = head").select("k", "v", "o"), "base")
+    asked = stage(base.where("o > double('-Infinity')"), "asked")
+    copies = stage(placed.where("k != head AND o > double('-Infinity')").select("k", "head"), "copies")
     blocks = max(1, -(-asked.count() // block))
     edges = None
     for b in range(blocks):
