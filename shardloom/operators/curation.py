@@ -113,7 +113,7 @@ def relative_regressions(results: DataFrame, reference: str, arm: str = "arm", m
     ref = results.where(F.col(arm) == reference).select(metric, F.col(value).alias("__r"))
     sign = F.when(F.lower(metric).isin(*lower_better), 1.0).otherwise(-1.0)
     worse = sign * (F.col(value) - F.col("__r")) / F.when(F.col("__r") == 0, 1.0).otherwise(F.abs("__r"))
-    return results.where(F.col(arm) != reference).join(ref, metric).select(arm, metric, F.round(worse, 6).alias("change"), (worse > limit).cast("int").alias("failed"))
+    return results.where(F.col(arm) != reference).join(ref, metric).select(arm, metric, (F.round(worse, 6) + F.lit(0.0)).alias("change"), (worse > limit).cast("int").alias("failed"))
 
 
 def champion(scores: DataFrame, family: str, key: str, score: str, incumbents: DataFrame, margin: float) -> DataFrame:

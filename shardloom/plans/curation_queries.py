@@ -61,7 +61,7 @@ def select_shards(spark, folder):
 
 
 @query("""WITH r AS (SELECT p_brand AS arm, p_type AS metric, avg(p_retailprice) AS v FROM part GROUP BY 1, 2), f AS (SELECT metric, v AS ref FROM r WHERE arm = 'Brand#1')
-SELECT arm, metric, round((CASE WHEN lower(metric) IN ('economy', 'promo') THEN 1 ELSE -1 END) * (v - ref) / CASE WHEN ref = 0 THEN 1 ELSE abs(ref) END, 6) AS change,
+SELECT arm, metric, round((CASE WHEN lower(metric) IN ('economy', 'promo') THEN 1 ELSE -1 END) * (v - ref) / CASE WHEN ref = 0 THEN 1 ELSE abs(ref) END, 6) + 0.0 AS change,
   CASE WHEN (CASE WHEN lower(metric) IN ('economy', 'promo') THEN 1 ELSE -1 END) * (v - ref) / CASE WHEN ref = 0 THEN 1 ELSE abs(ref) END > 0.03 THEN 1 ELSE 0 END AS failed FROM r JOIN f USING (metric) WHERE arm <> 'Brand#1'""")
 def regression_gate(spark, folder):
     r = table(spark, folder, "part").groupBy(F.col("p_brand").alias("arm"), F.col("p_type").alias("metric")).agg(F.avg("p_retailprice").alias("value"))
