@@ -1,12 +1,11 @@
 """A stored index of accepted records, to which batches come one after another.
 
 The index is a folder of Parquet tables: accepted records, and per shard the
-segments' captions with their vectors and graph links. A batch reads the
-segments it touches and the addresses; nothing of the history is parsed,
-routed or linked again. Every batch writes one shard; when there are
-``most_shards`` of them they are compacted into one, by linking the later
-nodes into the first shard's graphs. Words are weighted and keys chosen by the
-frequencies of the time of the last compaction, so that both stay comparable.
+segments' captions with their keys. A batch reads the segments it touches and
+the addresses; nothing of the history is parsed or routed again. Every batch
+writes one shard; when there are ``most_shards`` of them they are compacted into
+one. Keys are chosen by the frequencies of the time of the last compaction, so
+that they stay comparable.
 """
 
 from __future__ import annotations
@@ -15,16 +14,16 @@ import json
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, stage
 from . import p07_incremental as P7
-from . import smallworld
-from .captions import same_description
+from .likeness import Captions
 
 SEGMENTS = 64
-NODE = "segment bigint, class bigint, words string, vec array<float>, links array<int>, place int"
+NODE = "segment bigint, class bigint, words string, keys array<bigint>"
 
 
 class HistoryIndex:
@@ -71,25 +70,16 @@ class HistoryIndex:
         return refused
 
     def compact(self) -> None:
-        """One shard of all; the graphs of the first are kept and the later nodes linked in."""
-        parts = [self.spark.read.schema(NODE).parquet(s).withColumn("shard", F.lit(i)) for i, s in enumerate(self.shards)]
-        both = parts[0]
-        for p in parts[1:]:
-            both = both.unionByName(p)
-
-        def merge(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values(["shard", "place"], kind="stable").drop_duplicates("class").reset_index(drop=True)
-            x = np.stack(part["vec"].to_numpy()).astype("f4")
-            first = part[part["shard"] == part["shard"].iloc[0]]
-            links = smallworld.build(x, np.stack(first["links"].to_numpy()).astype("i4"))
-            return part.assign(links=list(links), place=np.arange(len(part)))[["segment", "class", "words", "vec", "links", "place"]]
-
+        """One shard of all."""
         target = f"{self.folder}/shards/to-{self.batches:06d}"
-        both.groupBy("segment").applyInPandas(merge, NODE).write.parquet(target)
+        self._stored().write.parquet(target)
         for s in self.shards:
             discard(self.spark, s)
         self.shards = [target]
 
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(NODE).parquet(*self.shards)
+
     def describe(self) -> str:
         return json.dumps({"batches": self.batches, "shards": self.shards, "words": len(self.known)})
 
@@ -105,65 +95,44 @@ class HistoryIndex:
     def _learn(self, classes: DataFrame) -> None:
         self.known, self.classes = P7._frequencies(classes), classes.count()
 
+    def _shared(self):
+        words = {"id": f"{id(self.known)}-{self.classes}-{self.batches}", "words": list(self.known), "n": list(self.known.values()), "classes": max(1, self.classes)}
+        return self.spark.sparkContext.broadcast(words)
+
     def _route(self, classes: DataFrame) -> DataFrame:
-        """Nodes per segment, without links."""
-        shared = self.spark.sparkContext.broadcast((self.known, self.classes, self.segments))
+        """Nodes per segment, with the keys under which a class is listed there."""
+        shared, segments = self._shared(), self.segments
 
         def run(batches):
-            known, total, segments = shared.value
+            known = P7._collection(shared).known
             for b in batches:
-                texts = [w.split(" ") for w in b["words"]]
-                if texts:
-                    vecs = P7.caption_vectors(texts, known, max(1, total))
-                    segs = [sorted({k % segments for k in P7.keys_of(t, known)}) for t in texts]
-                    at = np.repeat(np.arange(len(texts)), [len(s) for s in segs])
-                    yield pd.DataFrame({"segment": [s for x in segs for s in x], "class": b["class"].to_numpy()[at], "words": b["words"].to_numpy()[at], "vec": [vecs[i] for i in at]})
+                names, texts = (b.column(c).to_pylist() for c in range(2))
+                rows = [(s, n, t, k) for n, t in zip(names, texts) for s, k in P7.segments_of(t.split(" "), known, segments).items()]
+                yield pa.RecordBatch.from_pylist([dict(zip(("segment", "class", "words", "keys"), r)) for r in rows], pa.schema([("segment", pa.int64()), ("class", pa.int64()), ("words", pa.string()), ("keys", pa.list_(pa.int64()))]))
 
-        return classes.select("class", "words").mapInPandas(run, "segment bigint, class bigint, words string, vec array<float>")
+        return classes.select("class", "words").mapInArrow(run, NODE)
 
     def _write_shard(self, nodes: DataFrame, target: str) -> None:
-        def link(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("class", kind="stable").drop_duplicates("class").reset_index(drop=True)
-            links = smallworld.build(np.stack(part["vec"].to_numpy()).astype("f4"))
-            return part.assign(links=list(links), place=np.arange(len(part)))[["segment", "class", "words", "vec", "links", "place"]]
-
-        nodes.groupBy("segment").applyInPandas(link, NODE).write.parquet(target)
+        nodes.select("segment", "class", "words", "keys").write.parquet(target)
         self.shards.append(target)
 
     def _near(self, nodes: DataFrame) -> DataFrame:
         """``a, b``: classes of the batch and the like ones before or beside them."""
-        stored = None
-        for i, s in enumerate(self.shards):
-            p = self.spark.read.schema(NODE).parquet(s).withColumn("shard", F.lit(i))
-            stored = p if stored is None else stored.unionByName(p)
-        shared = self.spark.sparkContext.broadcast((self.known, self.classes))
+        shared = self._shared()
 
         def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            known, total = shared.value
-            often = max(50, total // 2000)
-            frequent = lambda t: known.get(t, 0) >= often
-            found: list[tuple[int, int]] = []
-            if len(asked):
-                asked = asked.drop_duplicates("class").reset_index(drop=True)
-                q = np.stack(asked["vec"].to_numpy()).astype("f4")
-                texts = [w.split(" ") for w in asked["words"]]
-                shards = [(q, None, asked)]
-                for _, part in held.groupby("shard"):
-                    part = part.sort_values("place")
-                    shards.append((np.stack(part["vec"].to_numpy()).astype("f4"), np.stack(part["links"].to_numpy()).astype("i4"), part))
-                for x, links, part in shards:
-                    names, words = part["class"].to_numpy(), part["words"].to_numpy()
-                    if links is None or len(x) <= smallworld.EXHAUSTIVE:
-                        s = q @ x.T
-                        r, c = np.nonzero(s >= P7.LEAST_COSINE)
-                    else:
-                        ids, cos = smallworld.search(x, links, q, P7.CANDIDATES, smallworld.tuned_beam(x, links))
-                        r, k = np.nonzero((ids >= 0) & (cos >= P7.LEAST_COSINE))
-                        c = ids[r, k]
-                    for i, j in zip(r.tolist(), c.tolist()):
-                        if asked["class"].iloc[i] != names[j] and same_description(texts[i], words[j].split(" "), frequent):
-                            found.append((asked["class"].iloc[i], names[j]))
-            return pd.DataFrame(found, columns=["a", "b"]).astype("i8")
-
-        pairs = nodes.groupBy("segment").cogroup(stored.groupBy("segment")).applyInPandas(run, "a bigint, b bigint")
+            both = pd.concat([held, asked.sort_values("class")], ignore_index=True)
+            first, names = len(held), both["class"].to_numpy()
+            under: dict[int, list[int]] = {}
+            for i, keys in enumerate(both["keys"]):
+                for k in keys:
+                    under.setdefault(k, []).append(i)
+            groups = [(r[r >= first], r) for r in map(np.array, under.values()) if len(r) > 1 and r[-1] >= first]
+            if not groups:
+                return pd.DataFrame({"a": names[:0], "b": names[:0]}).astype("i8")
+            captions = Captions([w.split(" ") for w in both["words"]], P7._collection(shared))
+            found = np.array(sorted(captions.like(groups, lambda i, j: j >= first)), "i8").reshape(-1, 2)
+            return pd.DataFrame({"a": names[found[:, 0]], "b": names[found[:, 1]]}).astype("i8")
+
+        pairs = nodes.groupBy("segment").cogroup(self._stored().groupBy("segment")).applyInPandas(run, "a bigint, b bigint")
         return pairs.distinct()

@@ -1,25 +1,24 @@
 """Problem 7: new batches checked for repeats against everything accepted before.
 
-Method: graph index shards. Captions that read the same are one class. Every
-class goes, by its most telling words, into segments; a segment holds a
-navigable small-world graph per shard: one of the history, then one per batch,
-compacted when the small ones outgrow a share of the large one. A class that
-arrives with a batch is searched for in the shards before and in its own batch's,
-with a beam tuned against exhaustive search; what comes near is compared
-exactly, word by word. Addresses repeat each other if they have the same
-spelling in ``captions.resource``.
+Method: inverted index of keys. Captions that read the same are one class.
+Every class is listed under keys, pairs of its most telling words; a segment
+holds the classes of some keys. Every class that arrives with a batch is held
+against all classes before it under each of its keys: bounds on the words two
+can share leave out only pairs that cannot pass (``likeness``), the others are
+compared exactly, word by word. Addresses repeat each other if they have the
+same spelling in ``captions.resource``.
 
 Which record is accepted is then settled in rounds: a record is refused once an
 accepted one before it has its address, its class or a like class, and accepted
 once none before it can be. Copies meet as one minimum per address or class,
-never as pairs. A segment that a hot word pair makes too large is split; its
-queries go to every part.
+never as pairs. A key that too many classes share is split; its queries go to
+every part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import combinations
 from zlib import crc32
 
 import numpy as np
@@ -30,25 +29,18 @@ from pyspark.sql import functions as F
 
 from ..io import table
 from ..session import stage
-from . import smallworld
-from .captions import COMMON, resource, running, same_description, words
+from .captions import COMMON, resource, running, words
+from .likeness import Captions, Collection
 
 #: Words whose frequencies are broadcast at most (under 15 MB); those beyond are rarer than all of them.
 VOCABULARY = 300_000
 #: A word of at most so many classes is a key of its own; of more frequent ones the rarest two are a key together.
 RARE = 1000
-#: Classes a segment has on average, and a part of a hot key at most.
+#: Places of a segment of less frequent words on average, and of a hot word or key at most.
 SEGMENT = 1500
 PART = 20_000
-#: Nearest nodes of a shard that are compared exactly, of a small one that is searched as a whole, and the least cosine.
-CANDIDATES = 10
-SMALL_CANDIDATES = 40
-LEAST_COSINE = 0.68
-#: A batch's shards are compacted into the history's once they hold this share of it.
-COMPACT = 0.25
-WIDTH = 64
 
-_FREQUENCIES: dict[str, dict[str, int]] = {}
+_COLLECTIONS: dict[str, Collection] = {}
 
 
 def parse(images: DataFrame) -> DataFrame:
@@ -87,114 +79,63 @@ def _frequencies(classes: DataFrame) -> dict[str, int]:
     return dict(zip(rows.column("w").to_pylist(), rows.column("n").to_pylist()))
 
 
-def _worker_frequencies(shared) -> dict[str, int]:
+def _collection(shared) -> Collection:
     """The broadcast frequencies, unpacked once per Python worker."""
     value = shared.value
-    if value["id"] not in _FREQUENCIES:
-        _FREQUENCIES.clear()
-        _FREQUENCIES[value["id"]] = dict(zip(value["words"], value["n"]))
-    return _FREQUENCIES[value["id"]]
+    if value["id"] not in _COLLECTIONS:
+        _COLLECTIONS.clear()
+        _COLLECTIONS[value["id"]] = Collection(dict(zip(value["words"], value["n"])), value["classes"])
+    return _COLLECTIONS[value["id"]]
 
 
-def keys_of(tokens: list[str], known: dict[str, int]) -> list[int]:
+def telling_words(tokens: list[str], known: dict[str, int]) -> list[tuple[str, ...]]:
     """Keys under which two like captions meet: up to two rare words each, and the rarest frequent ones in pairs.
 
     Words that occur once, misspellings above all, can be no key.
     """
     counted = sorted({(known[t], t) for t in tokens if t in known and t not in COMMON})
-    rare = [t for n, t in counted if n <= RARE][:2]
     often = [t for n, t in counted if n > RARE][:3]
-    pairs = [" ".join(sorted(p)) for p in ((often[0:2]), (often[1:3])) if len(p) == 2]
-    if not rare and not pairs:
-        pairs = [" ".join(sorted(set(tokens) & COMMON)[:3])]
-    return [crc32(k.encode()) for k in [*rare, *pairs]]
-
-
-@lru_cache(maxsize=1)
-def _signs() -> np.ndarray:
-    return np.random.default_rng(20240611).choice(np.array([-1.0, 1.0], "f4"), (4096, WIDTH))
-
-
-def token_vectors(tokens: list[str]) -> np.ndarray:
-    """A fixed direction per word: rows of a table of random signs picked by the word's hash."""
-    signs = _signs()
-    h = np.array([crc32(t.encode()) for t in tokens], "u8")
-    return signs[h & 4095] + signs[(h >> 12) & 4095] * np.where(h >> 31 & 1, 1, -1)[:, None].astype("f4")
-
-
-def caption_vectors(texts: list[list[str]], known: dict[str, int], classes: int) -> np.ndarray:
-    """Unit vectors of captions: their words' directions, weighted by how telling a word is."""
-    number: dict[str, int] = {}
-    flat = np.array([number.setdefault(t, len(number)) for text in texts for t in text], "i8")
-    names = list(number)
-    weight = np.array([0.3 if t in COMMON else min(4.0, max(0.3, np.log(classes / known.get(t, 1)))) for t in names], "f4")
-    vectors = token_vectors(names) * weight[:, None]
-    ends = np.cumsum([0] + [len(t) for t in texts])
-    out = np.add.reduceat(vectors[flat], ends[:-1], axis=0)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-
-class Segment:
-    """The graph shards of a segment: the compacted one first, then those of the batches since."""
-
-    def __init__(self, x: np.ndarray) -> None:
-        self.x = x
-        self.shards: list[np.ndarray] = []
-        self.graphs: list[np.ndarray] = []
-        self.beam = 24
-
-    def add(self, rows: np.ndarray, compact: float = COMPACT) -> None:
-        """A new shard; all shards become one once the later ones have ``compact`` times the first one's nodes."""
-        if not len(rows):
-            return
-        self.shards.append(rows)
-        self.graphs.append(smallworld.build(self.x[rows]))
-        small = sum(len(s) for s in self.shards[1:])
-        if len(self.shards) > 1 and small > compact * len(self.shards[0]):
-            rows = np.concatenate(self.shards)
-            self.shards, self.graphs = [rows], [smallworld.build(self.x[rows], self.graphs[0])]
-        if len(self.shards) == 1:
-            self.beam = smallworld.tuned_beam(self.x[rows], self.graphs[0])
-
-    def search(self, rows: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per shard: query rows, candidates' rows and cosines."""
-        for shard, graph in zip(self.shards, self.graphs):
-            if len(shard) <= smallworld.EXHAUSTIVE:  # a beam would visit most of so few nodes
-                s = self.x[rows] @ self.x[shard].T
-                if s.shape[1] > SMALL_CANDIDATES:
-                    least = np.partition(s, s.shape[1] - SMALL_CANDIDATES, axis=1)[:, s.shape[1] - SMALL_CANDIDATES]
-                    s[s < least[:, None]] = -2
-                r, c = np.nonzero(s >= LEAST_COSINE)
-                yield rows[r], shard[c], s[r, c]
-                continue
-            ids, cos = smallworld.search(self.x[shard], graph, self.x[rows], k, self.beam)
-            r, c = np.nonzero((ids >= 0) & (cos >= LEAST_COSINE))
-            yield rows[r], shard[ids[r, c]], cos[r, c]
-
-
-def _like(part: pd.DataFrame, known: dict[str, int], classes: int) -> pd.DataFrame:
+    keys: list[tuple[str, ...]] = [(t,) for n, t in counted if n <= RARE][:2]
+    keys += [tuple(often[i : i + 2]) for i in range(len(often) - 1)]
+    return keys or [tuple(sorted(set(tokens) & COMMON)[:3])]
+
+
+def keys_of(tokens: list[str], known: dict[str, int]) -> list[int]:
+    """The keys as numbers."""
+    return [crc32(" ".join(k).encode()) for k in telling_words(tokens, known)]
+
+
+def segments_of(tokens: list[str], known: dict[str, int], segments: int) -> dict[int, list[int]]:
+    """Keys by segment: those of one first word lie together, so that a caption goes there once."""
+    out: dict[int, list[int]] = {}
+    for k in telling_words(tokens, known):
+        n = known.get(k[0], 1)
+        if n <= SEGMENT:
+            at = crc32(k[0].encode()) % segments
+        else:
+            at = (1 << 32) + crc32(f"{k[0]} {crc32(k[-1].encode()) % -(-n // PART)}".encode())
+        out.setdefault(at, []).append(crc32(" ".join(k).encode()))
+    return out
+
+
+def _like(part: pd.DataFrame, about: Collection) -> pd.DataFrame:
     """Like classes of a segment: ``a, b``, a the one that came later or at the same time."""
-    # a class comes in by several keys, and into the parts of a hot key as a query
-    part = part.sort_values(["batch", "class", "base"], ascending=[True, True, False], kind="stable").drop_duplicates("class").reset_index(drop=True)
-    texts = [w.split(" ") for w in part["words"]]
+    part = part.sort_values(["batch", "class", "base"], ascending=[True, True, False], kind="stable").reset_index(drop=True)
     batch, names = part["batch"].to_numpy(), part["class"].to_numpy()
     base = part["base"].to_numpy("?")
-    segment = Segment(caption_vectors(texts, known, classes))
-    often = max(50, classes // 2000)
-    frequent = lambda t: known.get(t, 0) >= often
-    found: set[tuple[int, int]] = set()
-    for b in np.unique(batch):
-        now = batch == b
-        segment.add(np.flatnonzero(now & base))
-        if b == 0:
-            continue
-        rows = np.flatnonzero(now)
-        if not len(rows):
-            continue
-        for q, c, _ in segment.search(rows, CANDIDATES):
-            for i, j in zip(q.tolist(), c.tolist()):
-                if i != j and (i, j) not in found and same_description(texts[i], texts[j], frequent):
-                    found.add((i, j))
+    under: dict[int, list[int]] = {}
+    for i, keys in enumerate(part["keys"]):
+        for k in keys:
+            under.setdefault(k, []).append(i)
+    groups = []
+    for rows in under.values():
+        if len(rows) > 1 and batch[rows[-1]] > 0:
+            r = np.array(rows)
+            groups.append((r[batch[r] > 0], r[base[r]]))
+    if not groups:
+        return pd.DataFrame({"a": names[:0], "b": names[:0]})
+    captions = Captions([w.split(" ") for w in part["words"]], about)
+    found = captions.like(groups, lambda i, j: batch[i] == batch[j])
     pairs = np.array(sorted(found), "i8").reshape(-1, 2)
     return pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
@@ -204,33 +145,40 @@ def like_classes(classes: DataFrame) -> DataFrame:
     spark = classes.sparkSession
     known = _frequencies(classes)
     total = classes.count()
-    shared = spark.sparkContext.broadcast({"id": f"{id(known)}-{total}", "words": list(known), "n": list(known.values())})
+    shared = spark.sparkContext.broadcast({"id": f"{id(known)}-{total}", "words": list(known), "n": list(known.values()), "classes": total})
 
-    def route(batches: Iterator[pa.RecordBatch], full: bool = True) -> Iterator[pa.RecordBatch]:
-        known = _worker_frequencies(shared)
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _collection(shared).known
         for b in batches:
-            keys = pa.array([keys_of(w.split(" "), known) for w in b.column("words").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, keys] if full else [keys], names=[*b.schema.names, "keys"] if full else ["keys"])
-
-    # keys are counted without their captions; only those that are too large for one graph are kept
-    counted = classes.select("words").mapInArrow(lambda batches: route(batches, False), "keys array<bigint>").select(F.explode("keys").alias("key"))
-    sizes = stage(counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
-    n = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = sizes.where(F.col("n") > PART).select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    segments = max(1, n // SEGMENT)
-    routed = classes.select("class", "words", "batch").mapInArrow(route, "class bigint, words string, batch int, keys array<bigint>")
-    parted = (
-        routed.select("class", "words", "batch", F.explode("keys").alias("key"))
-        .join(F.broadcast(hot), "key", "left")  # at most keys / PART rows
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-        .withColumn("part", F.explode(F.when(F.col("batch") > 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
-        .withColumn("segment", F.when(F.col("parts") > 1, F.xxhash64("key", "part")).otherwise(F.pmod(F.xxhash64("key"), F.lit(segments))))
-        .select("segment", "class", "words", "batch", (F.col("part") == F.col("own")).alias("base"))
-    )
+            yield pa.RecordBatch.from_arrays([pa.array([k for w in b.column(0).to_pylist() for k in keys_of(w.split(" "), known)], pa.int64())], names=["key"])
+
+    # keys are counted without their captions; only those that too many classes share are kept
+    sizes = stage(classes.select("words").mapInArrow(keys, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
+    segments = max(1, (sizes.where(F.col("n") <= SEGMENT).agg(F.sum("n")).first()[0] or 0) // SEGMENT)
+    hot = dict(sizes.where(F.col("n") > PART).select("key", F.ceil(F.col("n") / PART).cast("int")).collect())  # at most keys / PART rows
+    split = spark.sparkContext.broadcast(hot)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, hot = _collection(shared).known, split.value
+        for b in batches:
+            at, segment, own_keys, base = [], [], [], []
+            for i, (name, w, batch) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
+                for s, keys in segments_of(w.split(" "), known, segments).items():
+                    own = [k for k in keys if k not in hot]
+                    if own:
+                        at.append(i), segment.append(s), own_keys.append(own), base.append(True)
+                    for k in keys:
+                        if k in hot:
+                            mine = name % hot[k]
+                            for p in range(hot[k]) if batch > 0 else (mine,):
+                                at.append(i), segment.append((1 << 50) + (k << 16) + p), own_keys.append([k]), base.append(p == mine)
+            rows = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int64()), *rows.columns, pa.array(own_keys, pa.list_(pa.int64())), pa.array(base, pa.bool_())], names=["segment", "class", "words", "batch", "keys", "base"])
+
+    parted = classes.select("class", "words", "batch").mapInArrow(route, "segment bigint, class bigint, words string, batch int, keys array<bigint>, base boolean")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        return _like(part, _worker_frequencies(shared), total)
+        return _like(part, _collection(shared))
 
     return parted.groupBy("segment").applyInPandas(run, "a bigint, b bigint").distinct()
 
