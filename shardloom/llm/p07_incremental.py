@@ -34,7 +34,9 @@ from .likeness import Captions, Collection
 
 #: Words whose frequencies are broadcast at most (under 15 MB); those beyond are rarer than all of them.
 VOCABULARY = 300_000
-#: A word of at most so many classes is a key of its own; of more frequent ones the rarest two are a key together.
+#: Words of a class that make keys: any two captions that keep two of them meet, whatever else an edit takes away.
+TELLING = 6
+#: A word of at most so many classes is a key of its own, and needs no pairs; more frequent ones are keys in pairs.
 RARE = 1000
 #: Places of a segment of less frequent words on average, and of a hot word or key at most.
 SEGMENT = 1500
@@ -89,15 +91,16 @@ def _collection(shared) -> Collection:
 
 
 def telling_words(tokens: list[str], known: dict[str, int]) -> list[tuple[str, ...]]:
-    """Keys under which two like captions meet: up to two rare words each, and the rarest frequent ones in pairs.
+    """Keys under which two like captions meet: the TELLING rarest words, rare ones alone, the others in all pairs.
 
-    Words that occur once, misspellings above all, can be no key.
+    Two captions have a key in common whenever two of these words are the same
+    in both: a caption that lost some of its words keeps the others among its
+    rarest. Words that occur once, misspellings above all, can be no key.
     """
-    counted = sorted({(known[t], t) for t in tokens if t in known and t not in COMMON})
-    often = [t for n, t in counted if n > RARE][:3]
-    keys: list[tuple[str, ...]] = [(t,) for n, t in counted if n <= RARE][:2]
-    keys += [tuple(often[i : i + 2]) for i in range(len(often) - 1)]
-    return keys or [tuple(sorted(set(tokens) & COMMON)[:3])]
+    first = sorted({(known[t], t) for t in tokens if t in known and t not in COMMON})[:TELLING]
+    keys: list[tuple[str, ...]] = [(t,) for n, t in first if n <= RARE]
+    keys += combinations([t for n, t in first if n > RARE], 2)
+    return keys or [(t,) for _, t in first] or [tuple(sorted(set(tokens) & COMMON)[:3])]
 
 
 def keys_of(tokens: list[str], known: dict[str, int]) -> list[int]:
