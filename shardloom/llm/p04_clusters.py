@@ -6,7 +6,9 @@ mean direction is near enough, else it starts its own. Features are additive:
 rounds of reduction bring features of like direction together (by random
 hyperplanes, other ones every round, in tasks of bounded size) and merge them.
 Ward agglomeration of the remaining leaves gives the centres; full passes over
-all vectors then assign members and take the means anew.
+all vectors then assign members and take the means anew. Vectors that fit
+nowhere are held against each other, all pairs, before they belong to none:
+small or wide clusters, whose members are no feature together, are found there.
 
 Nothing but features and centres leaves its partition: a cluster with a third
 of all records is one feature per partition.
@@ -42,6 +44,13 @@ LEAVES = 50_000
 #: Features of fewer records are no leaves for Ward: they lie apart after all rounds.
 LEAF = 3
 ROUNDS = 4
+#: Cosine from which two vectors that fit nowhere are neighbours: members of one cluster have 0.56 with each other on average, or more.
+LOOSE = 0.5
+#: Length of the mean of a vector's neighbours from which it may be a centre; of a cluster's members it is MEMBER or more.
+TIGHT = 0.65
+#: Vectors that fit nowhere that are broadcast at once (under 13 MB).
+CHUNK = 50_000
+REFINE = 12
 
 
 def absorb(counts: np.ndarray, sums: np.ndarray, x: np.ndarray, w: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
@@ -202,6 +211,58 @@ def _means(vectors: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
     return counts, sums
 
 
+def _merged(counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    return np.stack([sums[g].sum(axis=0) for g in ward(counts, sums, MERGE)])
+
+
+def _overlooked(vectors: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """Centres of what is dense among the vectors that are near no centre, from all pairs of them."""
+    directions = (centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)).astype("f4")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(directions):
+                near = (matrix(batch.column(1)) @ directions.T).max(axis=1, initial=-1) >= MEMBER
+                batch = batch.take(pa.array(np.flatnonzero(~near)))
+            yield batch
+
+    select = vectors.select("rec", "vec")
+    unfit = stage(select.mapInArrow(rest, select.schema), "unfit")
+    chunks = -(-unfit.count() // CHUNK)
+    parts = None
+    for i in range(chunks):
+        held = unfit.where(F.pmod(F.xxhash64("rec"), F.lit(chunks)) == i).select("vec").toArrow().combine_chunks()
+        if not held.num_rows:
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast(matrix(held.column(0).combine_chunks()).astype("f4"))
+
+        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            y = shared.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    piece = batch.slice(start, 500)
+                    hit = (matrix(piece.column(1)) @ y.T >= LOOSE).astype("f4")
+                    n = hit.sum(axis=1)
+                    some = np.flatnonzero(n > 0)
+                    sums = (hit[some] @ y).astype("f8")
+                    yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(some)), pa.array(n[some].astype("f8")), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["rec", "n", "ls"])
+
+        part = stage(unfit.mapInArrow(near, "rec string, n double, ls array<double>"), "dense")
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        return np.empty((0, DIMENSIONS))
+    added = parts.groupBy("rec").agg(F.sum("n").alias("n"), *[F.sum(F.col("ls")[i]).alias(f"s{i}") for i in range(DIMENSIONS)])
+    sums = F.array(*[F.col(f"s{i}") for i in range(DIMENSIONS)])
+    dense = added.select("n", sums.alias("ls")).where(F.col("n") >= LEAST // 2)
+    dense = dense.where(F.expr("sqrt(aggregate(ls, 0D, (a, x) -> a + x * x))") >= TIGHT * F.col("n"))
+    rows = _reduced(dense).orderBy(F.desc("n")).limit(LEAVES).toArrow()
+    if not rows.num_rows:
+        return np.empty((0, DIMENSIONS))
+    found = rows.column("ls").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, DIMENSIONS).astype("f8")
+    unit = found / np.linalg.norm(found, axis=1, keepdims=True)
+    return unit[(unit @ directions.T).max(axis=1, initial=-1) < MERGE]
+
+
 def find_clusters(vectors: DataFrame) -> DataFrame:
     """``rec, cluster, cos`` of all members; ``vectors`` is what ``usable_vectors`` gives.
 
@@ -214,17 +275,35 @@ def find_clusters(vectors: DataFrame) -> DataFrame:
     spark = vectors.sparkSession
     leaves = _reduced(_features(vectors)).where(F.col("n") >= LEAF).orderBy(F.desc("n")).limit(LEAVES)
     rows = leaves.toArrow()  # at most LEAVES features, 26 MB
-    if not rows.num_rows:
-        return spark.createDataFrame([], "rec string, cluster int, cos double")
-    counts = rows.column("n").to_numpy().astype("f8")
-    sums = rows.column("ls").combine_chunks().flatten().to_numpy().reshape(len(counts), DIMENSIONS).astype("f8")
-    centres = np.stack([sums[g].sum(axis=0) for g in ward(counts, sums, MERGE)])
+    centres = np.empty((0, DIMENSIONS))
+    if rows.num_rows:
+        counts = rows.column("n").to_numpy().astype("f8")
+        sums = rows.column("ls").combine_chunks().flatten().to_numpy().reshape(len(counts), DIMENSIONS).astype("f8")
+        centres = _merged(counts, sums)
     for _ in range(2):
-        counts, sums = _means(vectors, centres)
-        centres = sums[counts >= LEAST]
-        if not len(centres):
-            return spark.createDataFrame([], "rec string, cluster int, cos double")
-        centres = np.stack([centres[g].sum(axis=0) for g in ward(counts[counts >= LEAST], centres, MERGE)])
+        if len(centres):
+            counts, sums = _means(vectors, centres)
+            centres = sums[counts >= LEAST]
+            centres = _merged(counts[counts >= LEAST], centres) if len(centres) else centres
+    more = _overlooked(vectors, centres)
+    if len(more):
+        centres, last = np.concatenate([centres, more]), np.empty(0)
+        for _ in range(REFINE):
+            counts, sums = _means(vectors, centres)
+            held = counts >= LEAST // 2
+            if not held.any():
+                centres = centres[:0]
+                break
+            before, centres = len(centres), _merged(counts[held], sums[held])
+            # stable once no centre gains or loses members
+            if len(centres) == before and np.array_equal(np.sort(counts), last):
+                break
+            last = np.sort(counts)
+        if len(centres):
+            counts, sums = _means(vectors, centres)
+            centres = sums[counts >= LEAST]
+    if not len(centres):
+        return spark.createDataFrame([], "rec string, cluster int, cos double")
     found = stage(_assign(vectors, centres), "members")
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "cluster")  # one row per cluster
     sizes = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
