@@ -47,7 +47,7 @@ class HistoryIndex:
         records = stage(rows if not number else rows.join(self._accepted().select("id"), "id", "left_anti"), "batch")
         classes = records.where("class IS NOT NULL").groupBy("class").agg(F.min("words").alias("words"))
         if not number:
-            self._learn(classes.withColumn("batch", F.lit(0)))
+            self._learn(classes)
         else:
             seen = self._accepted().where("class IS NOT NULL").select("class").distinct()
             classes = classes.join(seen, "class", "left_anti")
@@ -70,9 +70,11 @@ class HistoryIndex:
         return refused
 
     def compact(self) -> None:
-        """One shard of all."""
+        """One shard of all, with words counted and keys chosen anew."""
         target = f"{self.folder}/shards/to-{self.batches:06d}"
-        self._stored().write.parquet(target)
+        classes = stage(self._stored().groupBy("class").agg(F.min("words").alias("words")), "classes")
+        self._learn(classes)
+        self._route(classes).write.parquet(target)
         for s in self.shards:
             discard(self.spark, s)
         self.shards = [target]

@@ -17,3 +17,16 @@ def test_batches_one_by_one(spark, data, tmp_path):
     assert len(index.shards) <= 3
     assert {g[0] for g in got} == {w[0] for w in want}
     assert len(want) > 20
+
+
+def test_words_that_come_up_later_are_learnt(spark, tmp_path):
+    images = lambda rows: spark.createDataFrame(rows, "id bigint, url string, caption string")
+    text = "a striped loom painted grey stands in the vaulted hall at nosendale with the handle bent to one side"
+    index = HistoryIndex(spark, f"file://{tmp_path}/later", segments=4, most_shards=2)
+    index.add(images([(0, "http://h.example/0", "nothing but one first caption of the index and it is quite short")]))
+    index.add(images([(i, f"http://h.example/{i}", f"{text} near the {n} lantern of a {m}") for i, n, m in ((1, "red", "weaver"), (2, "blue", "sailor"))]))
+    assert len(index.shards) == 1 and index.known["loom"] == 2 and "nosendale" in index.known
+    keys = [k for r in spark.read.parquet(index.shards[0]).collect() for k in r["keys"]]
+    assert len(set(keys)) > 3
+    got = index.add(images([(3, "http://h.example/3", f"{text} near the red lantern of a weavr")])).collect()
+    assert [(r.id, r.refused_by_caption) for r in got] == [(3, 1)]
