@@ -17,6 +17,7 @@ every part.
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Iterator
 from itertools import combinations
 from zlib import crc32
@@ -32,7 +33,7 @@ from ..session import stage
 from .captions import COMMON, resource, running, words
 from .likeness import Captions, Collection
 
-#: Words whose frequencies are broadcast at most (under 15 MB); those beyond are rarer than all of them.
+#: Words whose frequencies are broadcast at most (under 15 MB); those beyond are joined to the captions that have them.
 VOCABULARY = 300_000
 #: Words of a class that make keys: any two captions that keep two of them meet, whatever else an edit takes away.
 TELLING = 6
@@ -74,13 +75,33 @@ def parse(images: DataFrame) -> DataFrame:
     )
 
 
+def _counts(classes: DataFrame) -> DataFrame:
+    """``w, n``: words that occur in more than one class."""
+    return classes.select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def _frequencies(classes: DataFrame) -> dict[str, int]:
     """Classes per word, for the most frequent words that occur more than once."""
-    counts = classes.select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = counts.orderBy(F.desc("n"), "w").limit(VOCABULARY).toArrow()
+    rows = _counts(classes).orderBy(F.desc("n"), "w").limit(VOCABULARY).toArrow()
     return dict(zip(rows.column("w").to_pylist(), rows.column("n").to_pylist()))
 
 
+def _with_rarer(classes: DataFrame, known: dict[str, int]) -> DataFrame:
+    """The classes with ``rarer``, their recurring words that are not in the table, with frequencies; null if there are none."""
+    kind = "map<string,bigint>"
+    if len(known) < VOCABULARY:
+        return classes.withColumn("rarer", F.lit(None).cast(kind))
+    word, least = list(known.items())[-1]
+    beyond = _counts(classes).where((F.col("n") < least) | ((F.col("n") == least) & (F.col("w") > F.lit(word))))
+    own = classes.select("class", F.explode(F.array_distinct(F.split("words", " "))).alias("w")).join(beyond, "w")
+    rarer = own.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).cast(kind).alias("rarer"))
+    return stage(classes.join(rarer, "class", "left"), "rarer")
+
+
+def _all_known(known: dict[str, int], rarer: list[tuple[str, int]] | None):
+    return ChainMap(dict(rarer), known) if rarer else known
+
+
 def _collection(shared) -> Collection:
     """The broadcast frequencies, unpacked once per Python worker."""
     value = shared.value
@@ -148,15 +169,16 @@ def like_classes(classes: DataFrame) -> DataFrame:
     spark = classes.sparkSession
     known = _frequencies(classes)
     total = classes.count()
+    classes = _with_rarer(classes, known)
     shared = spark.sparkContext.broadcast({"id": f"{id(known)}-{total}", "words": list(known), "n": list(known.values()), "classes": total})
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _collection(shared).known
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([k for w in b.column(0).to_pylist() for k in keys_of(w.split(" "), known)], pa.int64())], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for w, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k in keys_of(w.split(" "), _all_known(known, r))], pa.int64())], names=["key"])
 
     # keys are counted without their captions; only those that too many classes share are kept
-    sizes = stage(classes.select("words").mapInArrow(keys, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
+    sizes = stage(classes.select("words", "rarer").mapInArrow(keys, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
     segments = max(1, (sizes.where(F.col("n") <= SEGMENT).agg(F.sum("n")).first()[0] or 0) // SEGMENT)
     hot = dict(sizes.where(F.col("n") > PART).select("key", F.ceil(F.col("n") / PART).cast("int")).collect())  # at most keys / PART rows
     split = spark.sparkContext.broadcast(hot)
@@ -165,8 +187,8 @@ def like_classes(classes: DataFrame) -> DataFrame:
         known, hot = _collection(shared).known, split.value
         for b in batches:
             at, segment, own_keys, base = [], [], [], []
-            for i, (name, w, batch) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
-                for s, keys in segments_of(w.split(" "), known, segments).items():
+            for i, (name, w, batch, rarer) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
+                for s, keys in segments_of(w.split(" "), _all_known(known, rarer), segments).items():
                     own = [k for k in keys if k not in hot]
                     if own:
                         at.append(i), segment.append(s), own_keys.append(own), base.append(True)
@@ -175,10 +197,10 @@ def like_classes(classes: DataFrame) -> DataFrame:
                             mine = name % hot[k]
                             for p in range(hot[k]) if batch > 0 else (mine,):
                                 at.append(i), segment.append((1 << 50) + (k << 16) + p), own_keys.append([k]), base.append(p == mine)
-            rows = b.take(pa.array(at, pa.int64()))
+            rows = b.select(["class", "words", "batch"]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int64()), *rows.columns, pa.array(own_keys, pa.list_(pa.int64())), pa.array(base, pa.bool_())], names=["segment", "class", "words", "batch", "keys", "base"])
 
-    parted = classes.select("class", "words", "batch").mapInArrow(route, "segment bigint, class bigint, words string, batch int, keys array<bigint>, base boolean")
+    parted = classes.select("class", "words", "batch", "rarer").mapInArrow(route, "segment bigint, class bigint, words string, batch int, keys array<bigint>, base boolean")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return _like(part, _collection(shared))
