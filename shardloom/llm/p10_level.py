@@ -4,172 +4,226 @@ Method: words are ranked by their frequency in all documents. A document's
 coverage rank is the size of the smallest frequency-ranked vocabulary that
 covers a fixed share of its words, which is that quantile of its words' ranks.
 Coverage rank and sentence complexity (letters per word, share of long words,
-words per sentence) are calibrated on the graded samples by least squares whose
-sums are taken in SQL.
-
-Ranks reach the words by a broadcast of the most frequent ones, whose number is
-fixed; the rest, each rare, by a shuffle join. So frequent words are no hot
-keys, and the vocabulary may grow without bound.
+words per sentence) are calibrated on the graded samples: one logistic cut
+between every two neighbouring levels, so that the distance between classes
+and not their means places the cut. The score is a column expression.
+
+Texts are read twice, in Arrow batches, and never shuffled: once for the word
+counts, which are added up inside a task first, and once for the measures. The
+most frequent words, whose number is fixed, are broadcast. Only where a
+document's covering word lies beyond them are its rarer words joined to their
+ranks.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..io import table
 from ..session import stage
+from .languages import FUNCTION_WORDS
 
 #: Share of a document's words its vocabulary has to cover.
 COVERED = 0.9
-#: Words whose ranks are broadcast (under 2 MB).
+#: Words whose ranks are broadcast at most (under 2 MB).
 BROADCAST_WORDS = 50_000
+#: Different words a task counts before it hands its counts on.
+COUNTED_AT_ONCE = 200_000
 LONG = 9
 LEAST_WORDS = 25
-
-#: Common function words by language, to tell English from other languages in Latin script.
-ENGLISH = "the of and to a an in is was that it for on with as by at from are were be this which not or have had they their his her its but we you i he she them then so if when there"
-OTHERS = {
-    "de": "der die das und ist ein eine im in den von zu mit auf nicht sich des dem es wird während daneben steht aus auch noch wurde liegt ohne",
-    "es": "el la los las de que y en un una por con no para su al del se es lo como más donde sin fue está",
-    "fr": "le la les de des du et un une dans est que qui pour pas sur au aux par ne avec près plus sans sont était",
-    "it": "il lo la gli le di che e un una in per non con del della sono è al nel più senza",
-    "pt": "o os as de que e um uma em por com não para do da no na se é mais sem foi",
-    "nl": "de het een en van in is op te dat die voor met niet aan zijn er ook zonder werd",
-}
-
-WORD = r"[a-z]+(?:['-][a-z]+)*"
-SENTENCE_END = r"[.!?…]+[\"')\]]*(?=\s|$)"
-
-
-def plain(text: Column) -> Column:
-    """Lower case, ligatures and marks resolved, every kind of space a plain one; null as empty."""
-    out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, "ﬃ", "ffi")
-    out = F.regexp_replace(out, "ﬁ", "fi")
-    out = F.regexp_replace(out, "ﬂ", "fl")
-    out = F.translate(out, "’‘ʼ‐‑–", "'''---")
-    out = F.regexp_replace(out, r"[\p{Mn}\p{Cf}]+", "")
-    return F.regexp_replace(out, r"[\p{Z}\t]+", " ")
-
-
-def _hits(words: str) -> Column:
-    listed = F.array(*[F.lit(w) for w in dict.fromkeys(words.split())])
-    return F.size(F.filter("tokens", lambda w: F.array_contains(listed, w)))
-
-
-def text_measures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``k, words`` and the sentence measures of every document with a key."""
-    out = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), plain(F.col(text)).alias("t"))
-    out = out.withColumn("words", F.regexp_extract_all("t", F.lit(WORD), 0)).withColumn("n", F.size("words"))
-    out = out.withColumn("tokens", F.filter(F.split(F.regexp_replace("t", r"[^\p{L}'\s-]+", " "), r"\s+"), lambda w: w != ""))
-    flat = F.regexp_replace("t", r"\s*[\r\n]\s*", " ")
-    raw = F.size(F.filter(F.split(flat, r"\s+"), lambda w: w != ""))
-    # whole words with at most a mark at either end, as running text has them
-    clean = F.size(F.filter(F.split(flat, r"\s+"), lambda w: w.rlike(r"^[(\[\"'«„“]*[\p{L}][\p{L}'-]*[)\]\"'»”.,;:!?…]*$")))
-    letters = F.length(F.regexp_replace("t", r"[^\p{L}]+", ""))
-    other = reduce(F.greatest, [_hits(w) for w in OTHERS.values()])
-    return out.select(
-        "k",
-        "words",
-        "n",
-        F.regexp_count("t", F.lit(SENTENCE_END)).alias("ends"),
-        (F.length(F.array_join("words", "")) / F.greatest("n", F.lit(1))).alias("letters_per_word"),
-        (F.size(F.filter("words", lambda w: F.length(w) >= LONG)) / F.greatest("n", F.lit(1))).alias("long_share"),
-        F.try_divide(clean, raw).alias("clean_share"),
-        F.try_divide(F.length(F.regexp_replace("t", "[^a-z]+", "")), letters).alias("ascii_share"),
-        _hits(ENGLISH).alias("english_hits"),
-        other.alias("other_hits"),
-    ).withColumn("words_per_sentence", F.col("n") / F.greatest("ends", F.lit(1)))
-
-
-def word_ranks(measured: DataFrame) -> DataFrame:
-    """``word, rank`` over all documents, 1 the most frequent; ties in order of the word.
-
-    Ranks are counted in two steps, by frequency and first letters and inside
-    those, so that no task holds the whole vocabulary.
+#: Graded samples that are fitted at most; of more, those with the smallest hashes of their texts.
+MOST_SAMPLES = 20_000
+
+WORD = re.compile(r"[a-z]+(?:['-][a-z]+)*")
+SENTENCE_END = re.compile(r"[.!?…]+[\"')\]]*(?=\s|$)")
+TOKEN = re.compile(r"(?:[^\W\d_]|['-])+")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Whole words with at most a mark at either end, as running text has them.
+CLEAN = re.compile(r"(?<!\S)[(\[\"'«„“]*[^\W\d_](?:[^\W\d_]|['-])*[)\]\"'»”.,;:!?…]*(?!\S)")
+DASHES = str.maketrans("’‘ʼ‐‑–", "'''---")
+
+MEASURES = "n int, ends int, letters_per_word double, long_share double, clean_share double, ascii_share double, english_hits int, other_hits int"
+
+
+def plain(text: str) -> str:
+    """Lower case, ligatures and marks resolved, every kind of space a plain one."""
+    out = text.lower()
+    if not out.isascii():
+        out = out.replace("ﬃ", "ffi").replace("ﬁ", "fi").replace("ﬂ", "fl").translate(DASHES)
+        out = "".join([c if c.isalnum() or (k := unicodedata.category(c)) not in ("Mn", "Cf", "Zs") else " " if k == "Zs" else "" for c in out])
+    return out
+
+
+def measures(t: str, words: list[str]) -> list:
+    """The values of MEASURES for a plain text and its words."""
+    n = len(words)
+    hits = Counter(lang for token in TOKEN.findall(t) for lang in FUNCTION_WORDS.get(token, ()))
+    raw = len(t.split())
+    letters = ascii_letters = 0
+    if not t.isascii():
+        found = LETTERS.findall(t)
+        letters = sum(map(len, found))
+        ascii_letters = sum(sum(c <= "z" for c in w) if not w.isascii() else len(w) for w in found)
+    return [
+        n,
+        len(SENTENCE_END.findall(t)),
+        sum(map(len, words)) / max(n, 1),
+        sum(len(w) >= LONG for w in words) / max(n, 1),
+        len(CLEAN.findall(t)) / raw if raw else None,
+        ascii_letters / letters if letters else 1.0,
+        hits.pop("en", 0),
+        max(hits.values(), default=0),
+    ]
+
+
+def word_ranks(docs: DataFrame, text: str) -> DataFrame:
+    """``word, rank`` over all documents: the number of words that are at least as frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(counts: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+        counts: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    counts.update(WORD.findall(plain(t)))
+                if len(counts) > COUNTED_AT_ONCE:
+                    yield rows(counts)
+                    counts = Counter()
+        yield rows(counts)
+
+    counts = stage(docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # one row per frequency: of N words in running text at most about sqrt(2 N)
+    steps = counts.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    upward = Window.partitionBy(F.lit(0)).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.join(steps.select("n", F.sum("c").over(upward).alias("rank")), "n").select("word", "rank")
+
+
+class Ranks:
+    """The ranks of the broadcast words, those of the others as a table, and the size of the vocabulary."""
+
+    def __init__(self, ranked: DataFrame, broadcast: int) -> None:
+        rows = ranked.where(F.col("rank") <= broadcast).toArrow()  # at most as many rows
+        frequent = dict(zip(rows.column("word").to_pylist(), rows.column("rank").to_pylist()))
+        self.shared = ranked.sparkSession.sparkContext.broadcast(frequent)
+        self.rare = ranked.where(F.col("rank") > broadcast)
+        self.size = ranked.count()
+
+
+def measured_texts(docs: DataFrame, key: str, text: str, ranks: Ranks, covered: float = COVERED) -> DataFrame:
+    """``k``, MEASURES and ``coverage_rank`` of every row with a key; words the ranking does not have rank behind all.
+
+    A null text counts as empty and has a null coverage rank, as any text without words.
     """
-    counts = stage(measured.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
-    keyed = counts.withColumn("part", F.substring("word", 1, 2))
-    steps = keyed.groupBy("n", "part").agg(F.count(F.lit(1)).alias("c"))
-    before = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = steps.select("n", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("n", "part").orderBy("word")
-    return keyed.withColumn("i", F.row_number().over(within)).join(offsets, ["n", "part"]).select("word", (F.col("before") + F.col("i")).cast("bigint").alias("rank"))
-
-
-def coverage_ranks(measured: DataFrame, ranks: DataFrame, covered: float = COVERED) -> DataFrame:
-    """``k, coverage_rank``; words the ranking does not have rank behind all."""
-    size = ranks.count()
-    tokens = measured.select("k", F.explode("words").alias("word")).groupBy("k", "word").agg(F.count(F.lit(1)).alias("times"))
-    frequent = F.broadcast(ranks.where(F.col("rank") <= BROADCAST_WORDS))
-    ranked = tokens.join(frequent, "word", "left")
-    if size > BROADCAST_WORDS:
-        rare = ranked.where("rank IS NULL").drop("rank").join(ranks.where(F.col("rank") > BROADCAST_WORDS), "word", "left")
-        ranked = ranked.where("rank IS NOT NULL").unionByName(rare)
-    ranked = ranked.withColumn("rank", F.coalesce("rank", F.lit(size + 1)))
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "times")))
-    total = F.aggregate("o", F.lit(0).cast("bigint"), lambda a, x: a + x["times"])
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(0).cast("bigint").alias("rank"))
-
-    def step(state: Column, x: Column) -> Column:
-        return F.struct(
-            (state["seen"] + x["times"]).alias("seen"),
-            F.when(state["seen"] < F.ceil(F.col("total") * covered), x["rank"]).otherwise(state["rank"]).alias("rank"),
-        )
-
-    out = ranked.groupBy("k").agg(ordered.alias("o")).withColumn("total", total)
-    return out.select("k", F.aggregate("o", start, step)["rank"].alias("coverage_rank"))
-
-
-FEATURES = ["one", "log_rank", "log_letters", "log_long", "log_sentence"]
-#: Added to the share of long words before its logarithm is taken.
-LONG_BASE = 0.02
-
-
-def _features(measured: DataFrame, ranks: DataFrame) -> DataFrame:
-    return (
-        measured.drop("words")
-        .join(coverage_ranks(measured, ranks), "k")
-        .withColumn("one", F.lit(1.0))
-        .withColumn("log_rank", F.ln("coverage_rank"))
-        .withColumn("log_letters", F.ln("letters_per_word"))
-        .withColumn("log_long", F.ln(F.col("long_share") + LONG_BASE))
-        .withColumn("log_sentence", F.ln("words_per_sentence"))
-    )
-
-
-def calibrate(samples: DataFrame, ridge: float = 0.01) -> list[float]:
-    """Weights of FEATURES for ``level``: least squares; the sums are one SQL aggregate of fixed size."""
-    sums = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(FEATURES) for b in FEATURES[i:]] + [F.sum(F.col(a) * F.col("level")) for a in FEATURES]
-    values = [float(v or 0.0) for v in samples.agg(*sums).first()]
-    size = len(FEATURES)
-    left = np.zeros((size, size))
-    left[np.triu_indices(size)] = values[: size * (size + 1) // 2]
-    left = left + np.triu(left, 1).T
-    return np.linalg.solve(left + ridge * np.eye(size), np.array(values[size * (size + 1) // 2 :])).tolist()
-
-
-def reading_levels(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text", sample_text: str = "text", level: str = "level") -> DataFrame:
+    shared, kind = ranks.shared, docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            out: list[list] = []
+            for t in batch.column(1).to_pylist():
+                t = plain(t or "")
+                words = WORD.findall(t)
+                own = sorted([known[w] for w in words if w in known])
+                need = ceil(len(words) * covered)
+                # beyond the broadcast words: which of the rarer ones covers is found by a join
+                beyond = need > len(own)
+                out.append([*measures(t, words), own[need - 1] if need and not beyond else None, need - len(own) if beyond else None, [w for w in words if w not in known] if beyond else None])
+            columns = list(zip(*out)) if out else [()] * len(shape)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(columns, shape)]], names=["k", *[f.name for f in shape]])
+
+    schema = f"{MEASURES}, rank bigint, need int, rarer array<string>"
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+    first = stage(docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"k {kind}, {schema}"), "measured")
+    words = first.where("need IS NOT NULL").select("k", "need", F.explode("rarer").alias("word")).join(ranks.rare, "word", "left")
+    places = F.array_sort(F.collect_list(F.coalesce("rank", F.lit(ranks.size + 1))))
+    late = words.groupBy("k", "need").agg(places.alias("places")).select("k", F.element_at("places", F.col("need")).alias("late"))
+    return first.drop("need", "rarer").join(late, "k", "left").withColumn("coverage_rank", F.coalesce("rank", "late")).drop("rank", "late")
+
+
+FEATURES = ["letters", "long", "log_sentence", "log_rank"]
+#: Ridge of each feature's weight, in units of the samples' spread. The rank depends on what else is in the collection and is shrunk most.
+RIDGE = [0.05, 0.05, 0.05, 1.0]
+
+
+def _features(measured: DataFrame) -> DataFrame:
+    return measured.withColumns(
+        {
+            "words_per_sentence": F.col("n") / F.greatest("ends", F.lit(1)),
+            "letters": F.col("letters_per_word"),
+            "long": F.col("long_share"),
+            "log_rank": F.ln("coverage_rank"),
+        }
+    ).withColumn("log_sentence", F.ln("words_per_sentence"))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: list[float], steps: int = 80) -> np.ndarray:
+    """Intercept and weights by Newton steps; the ridge keeps them finite where the classes are apart."""
+    x1 = np.column_stack([np.ones(len(x)), x])
+    w, shrink = np.zeros(x1.shape[1]), np.diag([1e-9, *ridge])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+        move = np.linalg.solve((x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + shrink, x1.T @ (y - p) - shrink @ w)
+        w += move
+        if np.abs(move).max() < 1e-8:
+            break
+    return w
+
+
+def calibrate(x: np.ndarray, levels: np.ndarray) -> dict[int, list[float]]:
+    """For every level but the lowest, intercept and weights of the cut below it, on FEATURES as they are."""
+    middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    cuts = {}
+    for level in sorted(set(levels.tolist()))[1:]:
+        w = logistic((x - middle) / spread, (levels >= level).astype("f8"), RIDGE)
+        cuts[int(level)] = [float(w[0] - (w[1:] * middle / spread).sum()), *(w[1:] / spread).tolist()]
+    return cuts
+
+
+def reading_levels(
+    docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text", sample_text: str = "text", level: str = "level", broadcast: int = BROADCAST_WORDS
+) -> DataFrame:
     """``key, words, coverage_rank, letters_per_word, long_share, words_per_sentence, english_prose, score, level``.
 
-    One row per document with a key; keys are unique. The level is the nearest
-    of 1 to 3; documents without a word (null, empty, blank, other scripts)
-    have null measures and level and are no English prose. English prose has at
-    least 25 words, sentences, clean words and no other language's function
-    words in the majority, whatever ``lang`` says. Repeated texts get the same
-    level. Samples with a null text or level are ignored.
+    One row per document with a key; keys are unique. The level is the highest
+    of the samples' levels whose cut the document passes; the score is the
+    lowest level plus the probabilities of passing each cut, weighted by the
+    step to the next level. Documents without a word (null, empty, blank, other
+    scripts) have null measures and level and are no English prose. English
+    prose has at least 25 words, sentences, clean words and no other language's
+    function words in the majority, whatever ``lang`` says. Repeated texts get
+    the same level. Samples with a null text or level, or without a word, are
+    ignored; of samples of one level all texts have it, without samples the
+    level is null.
     """
-    measured = stage(text_measures(docs, key, text), "measured")
-    ranks = stage(word_ranks(measured), "ranks")
+    ranks = Ranks(stage(word_ranks(docs, text), "ranks"), broadcast)
+    measured = _features(measured_texts(docs, key, text, ranks))
     graded = samples.where(F.col(sample_text).isNotNull() & F.col(level).isNotNull())
-    graded = graded.select(F.monotonically_increasing_id().alias("__s"), F.col(sample_text).alias("__t"), F.col(level).alias("level"))
-    known = text_measures(graded, "__s", "__t")
-    weights = calibrate(_features(known, ranks).join(graded.select(F.col("__s").alias("k"), "level"), "k"))
-    score = reduce(lambda a, b: a + b, [F.lit(w) * F.col(c) for w, c in zip(weights, FEATURES)])
+    graded = graded.select(F.xxhash64(sample_text, level).alias("__s"), F.col(sample_text).alias("__t"), F.col(level).cast("int").alias("level"))
+    graded = graded.groupBy("__s").agg(F.first("__t").alias("__t"), F.first("level").alias("level")).orderBy("__s").limit(MOST_SAMPLES)
+    known = _features(measured_texts(graded, "__s", "__t", ranks)).where("n > 0")
+    rows = known.join(graded.select(F.col("__s").alias("k"), "level"), "k").select("level", *FEATURES).orderBy("level", *FEATURES).toArrow()
+    levels = rows.column("level").to_numpy()
+    cuts = calibrate(np.column_stack([rows.column(c).to_numpy() for c in FEATURES]), levels) if len(levels) else {}
+    steps = sorted(set(levels.tolist()))
+    score, reached = F.lit(float(steps[0]) if steps else None), F.lit(steps[0] if steps else None).cast("int")
+    for below, (at, weights) in zip(steps, cuts.items()):
+        z = reduce(lambda a, b: a + b, [F.lit(w) * F.col(c) for w, c in zip(weights[1:], FEATURES)], F.lit(weights[0]))
+        score = score + (at - below) / (1.0 + F.exp(-z))
+        reached = F.when(z > 0, F.lit(at)).otherwise(reached)
     prose = (
         (F.col("n") >= LEAST_WORDS)
         & (F.col("ends") >= 1)
@@ -178,16 +232,16 @@ def reading_levels(docs: DataFrame, samples: DataFrame, key: str = "doc_id", tex
         & (F.col("ascii_share") >= 0.97)
         & ((F.col("other_hits") <= F.col("english_hits")) | (F.col("other_hits") < 0.04 * F.col("n")))
     )
-    scored = _features(measured, ranks).select("k", "coverage_rank", F.round(score, 6).alias("score"))
-    return measured.drop("words").join(scored, "k", "left").select(
+    any_word = F.col("n") > 0
+    return measured.select(
         F.col("k").alias(key),
         F.col("n").alias("words"),
         "coverage_rank",
-        *[F.when(F.col("n") > 0, F.round(c, 6)).alias(c) for c in ("letters_per_word", "long_share", "words_per_sentence")],
+        *[F.when(any_word, F.round(c, 6)).alias(c) for c in ("letters_per_word", "long_share", "words_per_sentence")],
         F.coalesce(prose, F.lit(False)).alias("english_prose"),
-        "score",
-        F.greatest(F.lit(1), F.least(F.lit(3), F.when(F.col("score").isNotNull(), F.round("score").cast("int")))).alias("level0"),
-    ).withColumn("level", F.when(F.col("score").isNotNull(), F.col("level0"))).drop("level0")
+        F.when(any_word, F.round(score, 6)).alias("score"),
+        F.when(any_word, reached).alias("level"),
+    )
 
 
 def _levels(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Text operators: quality, encoding, packing, reading level."""
 
+import os
 import random
 
 import numpy as np
@@ -135,10 +136,40 @@ def test_levels(spark):
     assert out[100].level is None and out[101].level is None and not out[102].english_prose and not out[103].english_prose
 
 
-def test_coverage_rank_by_hand(spark):
-    docs = spark.createDataFrame([(1, "a a a b b c d"), (2, "c c z")], "doc_id bigint, text string")
-    m = L.text_measures(docs, "doc_id", "text")
-    ranks = {r.word: r["rank"] for r in L.word_ranks(m).collect()}
-    assert ranks == {"a": 1, "c": 2, "b": 3, "d": 4, "z": 5}
-    got = {r.k: r.coverage_rank for r in L.coverage_ranks(m, L.word_ranks(m), 0.7).collect()}
-    assert got == {1: 3, 2: 5}
+@pytest.mark.parametrize("broadcast", [0, 2, 100])
+def test_coverage_rank_by_hand(spark, broadcast):
+    docs = spark.createDataFrame([(1, "a a a b b c d"), (2, "c c z"), (3, None), (4, "$ 1")], "doc_id bigint, text string")
+    ranked = L.word_ranks(docs, "text")
+    assert {r.word: r["rank"] for r in ranked.collect()} == {"a": 2, "c": 2, "b": 3, "d": 5, "z": 5}
+    got = {r.k: r.coverage_rank for r in L.measured_texts(docs, "doc_id", "text", L.Ranks(ranked, broadcast), 0.7).collect()}
+    assert got == {1: 3, 2: 5, 3: None, 4: None}
+    other = spark.createDataFrame([(9, "a new")], "k bigint, t string")
+    assert L.measured_texts(other, "k", "t", L.Ranks(ranked, broadcast)).first().coverage_rank == 6
+
+
+def test_levels_hold_without_any_one_sample(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data here")
+    docs, samples = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/level_samples.parquet")
+    ranks = L.Ranks(L.word_ranks(docs, "text"), L.BROADCAST_WORDS)
+    x = {n: L._features(L.measured_texts(d, k, "text", ranks)).where("n >= 25").select("k", *L.FEATURES).toPandas() for n, d, k in (("docs", docs, "doc_id"), ("samples", samples, "sample_id"))}
+    level = dict(samples.select("sample_id", "level").collect())
+    levels = x["samples"]["k"].map(level).to_numpy()
+
+    def hard(keep):
+        cut = np.array(L.calibrate(x["samples"][L.FEATURES].to_numpy()[keep], levels[keep])[3])
+        return int((x["docs"][L.FEATURES].to_numpy() @ cut[1:] + cut[0] > 0).sum())
+
+    every = np.arange(len(levels))
+    whole = hard(every)
+    assert all(abs(hard(np.delete(every, i)) - whole) <= 0.03 * whole for i in every)
+
+
+def test_levels_of_little(spark):
+    docs = spark.createDataFrame([(1, "The cat sat on the mat."), (2, None), (None, "x")], "doc_id bigint, text string")
+    none = spark.createDataFrame([], "sample_id bigint, text string, level int")
+    assert {r.doc_id: r.level for r in L.reading_levels(docs, none).collect()} == {1: None, 2: None}
+    one = spark.createDataFrame([(1, "A cat. " * 9, 2), (1, "A cat. " * 9, 2), (2, "", 3)], "sample_id bigint, text string, level int")
+    assert {r.doc_id: r.level for r in L.reading_levels(docs, one).collect()} == {1: 2, 2: None}
+    assert L.reading_levels(docs.limit(0), one).count() == 0
