@@ -57,6 +57,29 @@ def image_quotas(images: dict[str, int], percent: dict[str, int], repeats: dict[
     return {s: whole[s] + (s in order[:rest]) for s in images}
 
 
+#: The generator draws from fewer blocks than this at once.
+DRAWN_AT_ONCE = 1_000_000_000
+
+
+def draw(rng: np.random.Generator, counts: list[int], take: int, most: int = DRAWN_AT_ONCE) -> list[int]:
+    """How many of ``take`` blocks drawn without replacement come from each source.
+
+    From ``most`` blocks on, bundles of blocks are drawn, as few to a bundle as
+    possible, and what is left of ``take`` comes from the blocks outside
+    bundles, the largest rest first. The sum is always ``take``.
+    """
+    unit = sum(counts) // most + 1
+    if not take:
+        return [0] * len(counts)
+    left = [int(x) * unit for x in rng.multivariate_hypergeometric([c // unit for c in counts], min(take // unit, sum(c // unit for c in counts)), method="marginals")]
+    rest = take - sum(left)
+    for i in sorted(range(len(counts)), key=lambda i: (-((counts[i] - left[i]) % unit), left[i] - counts[i], i)):
+        more = min(rest, counts[i] - left[i])
+        left[i] += more
+        rest -= more
+    return left
+
+
 def split_tree(blocks: list[int], leaves: int, first: int, last: int, seed: int) -> Iterator[tuple[int, list[int], list[int]]]:
     """``leaf, starts, counts`` for the leaves from ``first`` up to ``last`` (exclusive).
 
@@ -74,7 +97,7 @@ def split_tree(blocks: list[int], leaves: int, first: int, last: int, seed: int)
         n = sum(counts)
         take = n * (middle - low) // (high - low)
         rng = np.random.Generator(np.random.PCG64([seed, low, high]))
-        left = [int(x) for x in rng.multivariate_hypergeometric(counts, take, method="marginals")] if n else counts
+        left = draw(rng, counts, take)
         stack.append((middle, high, [s + x for s, x in zip(starts, left)], [c - x for c, x in zip(counts, left)]))
         stack.append((low, middle, starts, left))
 
@@ -98,8 +121,10 @@ def mix_sources(
     Mix: ``out_shard, slot, source_key, shard_id, repeat_no, first_image,
     n_images``: a run of images of one use of a shard. No shard is used more
     than max_repeats times. Report: ``source, target_pct, max_repeats, images,
-    wanted, short, actual, actual_pct``. Without images the mix is empty and
-    actual_pct null.
+    wanted, short, actual, actual_pct``, of which ``actual`` is summed over the
+    drawn mix; ``short`` is a source that is used up (every shard max_repeats
+    times) and still stays below its share of ``total``. Without images the mix
+    is empty and actual_pct null.
     """
     spark = shards.sparkSession
     size = F.greatest(F.coalesce("n_images", F.lit(0)), F.lit(0))
@@ -167,14 +192,15 @@ def mix_sources(
     )
 
     head = spark.createDataFrame(
-        [(r.source_key, r.source, r.target_pct, r.max_repeats, images[r.source_key], images[r.source_key] * repeats[r.source_key] * 100 < percent[r.source_key] * total, quota[r.source_key]) for r in rows],
-        "source_key string, source string, target_pct int, max_repeats int, images bigint, short boolean, wanted bigint",
+        [(r.source_key, r.source, r.target_pct, r.max_repeats, images[r.source_key], quota[r.source_key], images[r.source_key] * max(0, repeats[r.source_key]), percent[r.source_key]) for r in rows],
+        "source_key string, source string, target_pct int, max_repeats int, images bigint, wanted bigint, most bigint, percent int",
     )
     given = mix.groupBy("source_key").agg(F.sum("n_images").alias("actual"))
     sum_all = Window.partitionBy(F.lit(0))  # one row per listed source
     report = (
         head.join(given, "source_key", "left")
         .withColumn("actual", F.coalesce("actual", F.lit(0)))
+        .withColumn("short", (F.col("actual") >= F.col("most")) & (F.col("actual") * 100 < F.col("percent") * F.lit(total)))
         .withColumn("actual_pct", F.round(F.try_divide(F.col("actual") * 100.0, F.sum("actual").over(sum_all)), 4))
         .select("source", "target_pct", "max_repeats", "images", "wanted", "short", "actual", "actual_pct")
     )
@@ -187,7 +213,7 @@ def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Listed sources that cannot give their share, from the report of the mix."""
+    """Listed sources that the drawn mix uses up without reaching their share."""
     return _mixed(spark, folder)[1].where("short").select("source")
 
 

@@ -196,8 +196,9 @@ def _packed(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> D
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that had to be split."""
-    return _packed(spark, folder).where("pieces > 1 AND piece = 0").select("doc_id")
+    """Documents whose pieces the packing put into more than one container."""
+    held = _packed(spark, folder).groupBy("doc_id").agg(F.min("container").alias("first"), F.max("container").alias("last"))
+    return held.where(F.col("first") != F.col("last")).select("doc_id")
 
 
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:

@@ -240,3 +240,13 @@ def test_batches_against_a_sequential_run(spark):
     assert {r.id for r in got} == refused
     assert all((r.refused_by_address or r.refused_by_caption) in set(accepted) for r in got)
     assert I.refused_records(df.limit(0)).count() == 0
+
+
+def test_draws_of_any_size():
+    rng = np.random.default_rng(5)
+    for counts, take, most in (([7, 0, 5], 6, 10**9), ([70, 1, 55], 61, 20), ([3, 3, 3], 9, 2), ([10**12, 5, 10**11], 10**11 + 7, 10**9), ([0, 0], 0, 5)):
+        left = M.draw(rng, counts, take, most)
+        assert sum(left) == take and all(0 <= x <= c for x, c in zip(left, counts))
+    # in proportion on average
+    shares = np.mean([M.draw(rng, [600, 300, 100], 500, 64) for _ in range(300)], axis=0)
+    assert np.allclose(shares, [300, 150, 50], atol=8)
