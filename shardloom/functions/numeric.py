@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,22 @@ def redistribute(parts: list[tuple[Column, float]], total: float | None = None)
         have = h if have is None else have + h
         value = v if value is None else value + v
     return F.when(have > 0, value * F.lit(whole) / have)
+
+
+def aesthetic_share(score: Column) -> Column:
+    """A score from 1 to 10 as one from 0 to 1."""
+    return clamp((score - 1.0) / 9.0)
+
+
+def grid_side(pixels: Column, step: int = 8) -> Column:
+    """Whole steps in a side."""
+    return F.floor(pixels / step).cast("int")
+
+
+def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``z_<column>`` for every column: deviations from the mean in standard deviations, each row scaled to length one. Null where one is null."""
+    row = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    joined = df.crossJoin(F.broadcast(row))  # one row
+    z = [(F.col(c) - F.col(f"m{i}")) / (F.col(f"s{i}") + 1e-6) for i, c in enumerate(columns)]
+    length = F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0])) + 1e-8
+    return joined.withColumns({f"z_{c}": v / length for c, v in zip(columns, z)}).drop(*row.columns)

@@ -42,7 +42,7 @@ def caption_quality(text: Column) -> Column:
     and marks of artefacts (addresses, file names, many bars or underscores)
     are taken off. Blank and null give 0, fewer than five words 0.1.
     """
-    body = F.trim(F.coalesce(text, F.lit("")))
+    body = F.coalesce(text, F.lit(""))
     return let(body, lambda b: let(F.transform(tokens(b), lambda w: F.lower(w)), lambda words: _quality(b, words)))
 
 
@@ -61,7 +61,7 @@ def _quality(body: Column, words: Column) -> Column:
     marks = lambda c: F.length(body) - F.length(F.translate(body, c, ""))
     artefact = (
         F.when(low.startswith("http") | low.contains("www."), 0.4).otherwise(0.0)
-        + F.when(low.rlike(r"\.(jpg|jpeg|png|gif|webp)"), 0.3).otherwise(0.0)
+        + F.when(low.rlike(r"\.(jpg|jpeg|png|gif|webp|bmp|tiff?)(\s|$)"), 0.3).otherwise(0.0)
         + F.when((marks("|") > 3) | (marks("_") > 5), 0.2).otherwise(0.0)
     )
     score = 0.4 * length + 0.4 * lexical - penalty - artefact
@@ -76,6 +76,34 @@ def label_from_path(path: Column, order: list[tuple[str, str]], default: str = "
     return out
 
 
+#: The orders in which three rules look for a source in a path, a file name, or a path before its provenance.
+BUILD_ORDER = [("journeydb", "jdb"), ("jdb", "jdb"), ("wikiart", "wikiart"), ("laion", "laion"), ("coyo", "coyo")]
+NAME_ORDER = [("laion", "laion"), ("coyo", "coyo"), ("wikiart", "wikiart"), ("jdb", "jdb"), ("journey", "jdb"), ("anchor", "anchor")]
+SCORE_ORDER = [("journeydb", "journeydb"), ("jdb", "journeydb"), ("wikiart", "wikiart"), ("laion", "laion"), ("coyo", "coyo")]
+
+
+def source_when_built(path: Column) -> Column:
+    return label_from_path(path, BUILD_ORDER)
+
+
+def source_by_name(path: Column) -> Column:
+    """By the last part of the path alone."""
+    return label_from_path(F.element_at(F.split(path, "/"), -1), NAME_ORDER)
+
+
+def source_when_scored(path: Column, kinds: Column) -> Column:
+    """By the path, else the one kind of source its provenance knows; several kinds are unknown."""
+    own = F.array_distinct(F.filter(F.transform(kinds, lambda k: F.when(k == "jdb", F.lit("journeydb")).otherwise(k)), lambda k: k.isNotNull() & (k != "unknown")))
+    by_path = label_from_path(path, SCORE_ORDER)
+    return F.when(by_path != "unknown", by_path).when(F.size(own) == 1, F.element_at(own, 1)).otherwise(F.lit("unknown"))
+
+
+def source_by_number(shard: Column, below: int = 400_000) -> Column:
+    """The last guess: by the range of a numeric shard id."""
+    n = F.trim(shard).try_cast("bigint")
+    return F.when(n.isNull(), "unknown").when(n < below, "journeydb").otherwise("laion_coyo")
+
+
 def joined_label(names: Column, unknown: str = "unknown") -> Column:
     """Distinct known names in order, joined by ``+``; null if there is none."""
     known = F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda x: F.lower(F.trim(x))), lambda x: x.isNotNull() & (x != "") & (x != unknown))))
@@ -91,3 +119,8 @@ def config_hash(config: Column, digits: int = 16, prefix: str = "") -> Column:
     """First hex digits of the SHA-256 of a map's entries in order of key."""
     ordered = F.map_from_entries(F.array_sort(F.map_entries(config)))
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.to_json(ordered), 256), 1, digits))
+
+
+def checkpoint_mark(path: Column, digits: int = 12) -> Column:
+    """The first characters of a file's name without its ending."""
+    return F.substring(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^(.*?)(\.[^.]*)?$", 1), 1, digits)

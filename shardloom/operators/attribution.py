@@ -69,21 +69,54 @@ def confidence(included_n: Column, excluded_n: Column, min_obs: int) -> Column:
     return F.when((included_n >= min_obs) & (excluded_n >= min_obs), F.least(F.lit(1.0), harmonic / min_obs)).otherwise(F.lit(0.0))
 
 
-def composite(ref: Column, cond: Column, loss: Column) -> Column:
-    """0.20, 0.65 and 0.15 of three signals, over those present."""
-    return redistribute([(ref, 0.20), (cond, 0.65), (loss, 0.15)], 1.0)
+#: Weights of the three signals, the least loss and the span of losses, and what hard records and a long loss tail change.
+REF_WEIGHT, COND_WEIGHT, LOSS_WEIGHT = 0.20, 0.65, 0.15
+LOSS_LOW, LOSS_SPAN = 0.3, 2.7
+HARD_BONUS, HARD_SCALE = 0.05, 50.0
+TAIL_MALUS, TAIL_LOW, TAIL_HIGH = 0.05, 1.5, 4.5
+
+
+def composite(ref: Column, cond: Column, loss: Column | None = None) -> Column:
+    """Weighted mean of the signals that are present, each brought to 0..1; null without any.
+
+    Gaps run from -0.5 to 0.5, losses from 0.3 (best) to 3.0; what lies beyond counts as the end.
+    """
+    parts = [(clamp(ref + 0.5), REF_WEIGHT), (clamp(cond + 0.5), COND_WEIGHT)]
+    if loss is not None:
+        parts.append((1.0 - clamp((loss - LOSS_LOW) / LOSS_SPAN), LOSS_WEIGHT))
+    return redistribute(parts, 1.0)
 
 
 def effective(raw: Column, sure: Column, attributed: Column, hard: Column | None = None, tail: Column | None = None) -> Column:
-    """Raw score plus trusted attribution, a bonus for hard records and a malus for a long loss tail, within 0 and 1."""
-    score = clamp(raw + sure * attributed)
+    """Raw score plus trusted attribution, a bonus for hard records and a malus for a long loss tail, within 0 and 1.
+
+    Without attribution or confidence the raw score is the start; a null raw score stays null.
+    """
+    score = F.when(attributed.isNotNull() & (sure > 0), clamp(raw + sure * attributed)).otherwise(raw)
     if hard is not None:
-        score = score + 0.05 * F.least(F.lit(1.0), F.coalesce(hard, F.lit(0)) / 50.0)
+        score = score + HARD_BONUS * F.least(F.lit(1.0), F.coalesce(hard, F.lit(0)) / HARD_SCALE)
     if tail is not None:
-        score = score - 0.05 * F.coalesce(clamp((tail - 1.5) / 3.0), F.lit(0.0))
+        score = score - TAIL_MALUS * F.coalesce(clamp((tail - TAIL_LOW) / (TAIL_HIGH - TAIL_LOW)), F.lit(0.0))
     return clamp(score)
 
 
+def observation_fold(log: DataFrame, by: list[str], order: list[str], values: list[str], role: str = "role") -> DataFrame:
+    """Per group and role the number of observations, the means of the values and their last ones that are not null.
+
+    ``by..., n_<role>, <value>_<role>, last_<value>_<role>`` for the roles
+    included and excluded. Equal-weighted means do not depend on the order, so
+    nothing is folded; last values are by ``order``, which has to be total.
+    """
+    aggs = []
+    for r in ("included", "excluded"):
+        own = F.col(role) == r
+        aggs.append(F.count_if(own).alias(f"n_{r}"))
+        for v in values:
+            aggs.append(F.avg(F.when(own, F.col(v))).alias(f"{v}_{r}"))
+            aggs.append(F.max_by(v, F.when(own & F.col(v).isNotNull(), F.struct(*order))).alias(f"last_{v}_{r}"))
+    return log.groupBy(*by).agg(*aggs)
+
+
 def latest_observation(log: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The last row of each group."""
     w = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])

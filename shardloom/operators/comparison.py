@@ -112,3 +112,12 @@ def separated_groups(centres: list[tuple[str, float, np.ndarray]], apart: float,
         if len(picked) < n and all(float(c @ p) < apart for _, p in picked):
             picked.append((name, c))
     return [name for name, _ in picked]
+
+
+def retrieval_weights(cosines: DataFrame, key: str, name: str, cos: str, k: int, temperature: float, single: float) -> DataFrame:
+    """``key, name, weight``: softmax weights of a key's ``k`` best cosines; the best alone, with 1, where it has ``single`` of the weight or more."""
+    by = Window.partitionBy(key)
+    best = cosines.withColumn("__p", F.row_number().over(by.orderBy(F.desc(cos), F.asc(name)))).where(F.col("__p") <= k)
+    u = best.withColumn("__u", F.exp((F.col(cos) - F.max(cos).over(by)) / temperature))
+    w = u.withColumn("__w", F.col("__u") / F.sum("__u").over(by)).withColumn("__t", F.max("__w").over(by))
+    return w.where((F.col("__t") < single) | (F.col("__p") == 1)).select(key, name, F.when(F.col("__t") >= single, 1.0).otherwise(F.col("__w")).alias("weight"))

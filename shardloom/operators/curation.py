@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .ranking import global_rank
 from .similarity import _unit, usable
 
 
@@ -90,24 +89,6 @@ def rotating_holdout(df: DataFrame, group: str, turn: int) -> DataFrame:
     return df if len(names) < 2 else df.where(~F.col(group).eqNullSafe(F.lit(names[turn % len(names)])))
 
 
-def select_under_quotas(pool: DataFrame, key: str, group: str, score: str, n: int, seed: int = 42, best: float = 0.5, explore: float = 0.3, per_group: int = 1) -> DataFrame:
-    """``key, phase``: ``n`` rows; the best scored, a seeded part of the unscored, a minimum of each group, the rest by seeded draw.
-
-    Phases follow each other and none displaces an earlier one; never more than
-    ``n`` rows come out. A pool of at most ``n`` rows comes out whole.
-    """
-    draw = F.xxhash64(F.col(key), F.lit(seed)).cast("double")
-    ranked = global_rank(pool.select(key, group, score), F.col(score), key, "r1", "t1")
-    ranked = global_rank(ranked, F.when(F.col(score).isNull(), draw), key, "r2", "t2")
-    first = F.coalesce(F.col("r1") <= int(n * best), F.lit(False))
-    second = F.coalesce(F.col("r2") <= int(n * explore), F.lit(False))
-    ranked = ranked.withColumn("p", F.when(first, 1).when(second, 2))
-    by = Window.partitionBy(group).orderBy(F.asc_nulls_last("p"), F.desc_nulls_last(score), key)
-    ranked = ranked.withColumn("p", F.coalesce("p", F.when(F.row_number().over(by) <= per_group, 3), F.lit(4)))
-    final = global_rank(ranked, -F.col("p") * F.lit(1e3) + (draw / F.lit(float(2**63)) + 1) / 2, key, "place", "all")
-    return final.where(F.col("place") <= n).select(key, F.col("p").alias("phase"))
-
-
 def relative_regressions(results: DataFrame, reference: str, arm: str = "arm", metric: str = "metric", value: str = "value", lower_better: tuple[str, ...] = ("lpips", "fid", "loss"), limit: float = 0.03) -> DataFrame:
     """``arm, metric, change, failed``: how much worse than the reference arm, by its size (1 where it is 0); failed above the limit."""
     ref = results.where(F.col(arm) == reference).select(metric, F.col(value).alias("__r"))
@@ -124,10 +105,13 @@ def champion(scores: DataFrame, family: str, key: str, score: str, incumbents: D
     return best.join(held, family, "left").select(family, F.when(stays, F.col("ik")).otherwise(F.col("k")).alias("champion"), (~F.coalesce(F.col("ik") == F.when(stays, F.col("ik")).otherwise(F.col("k")), F.lit(False))).cast("int").alias("changed"))
 
 
-def superseded(runs: DataFrame, group: str, key: str, order: list[str], main: str, side: str) -> DataFrame:
-    """Keys of runs that the next run of their group beats on both values; a null side value of the next passes."""
+def superseded(runs: DataFrame, group: str, key: str, order: list[str], main: str, side: str, next_side: str | None = None) -> DataFrame:
+    """Keys of runs that the next run of their group beats on both values; a null side value of the next passes.
+
+    ``next_side`` names the column the next run's side value is taken from, if that is another one.
+    """
     w = Window.partitionBy(group).orderBy(*order)
-    nxt = runs.withColumn("__m", F.lead(main).over(w)).withColumn("__s", F.lead(side).over(w)).withColumn("__k", F.lead(key).over(w))
+    nxt = runs.withColumn("__m", F.lead(main).over(w)).withColumn("__s", F.lead(next_side or side).over(w)).withColumn("__k", F.lead(key).over(w))
     return nxt.where(F.col("__k").isNotNull() & (F.col("__m") > F.col(main)) & (F.col("__s").isNull() | (F.col("__s") > F.col(side)))).select(key)
 
 
@@ -153,6 +137,21 @@ def at_least_severe(df: DataFrame, severity: str, least: str) -> DataFrame:
     return df.where(rank(F.col(severity)) <= rank(F.lit(least)))
 
 
+def send_alerts(alerts: DataFrame, poster: Callable[[list[dict]], bool], severity: str = "severity", least: str = "warning", most: int = 1000) -> dict:
+    """Hands the alerts severe enough to ``poster``; ``sent, n_sent, n_total, skipped``.
+
+    ``poster`` is called on the driver with one list of rows; more than
+    ``most`` alerts at once are an error of the rules and raise one. Without
+    alerts it is not called. What it returns says whether they were sent.
+    """
+    total = alerts.count()
+    rows = [r.asDict() for r in at_least_severe(alerts, severity, least).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} alerts at once")
+    sent = bool(rows) and bool(poster(rows))
+    return {"sent": sent, "n_sent": len(rows) if sent else 0, "n_total": total, "skipped": total - len(rows)}
+
+
 def reordered(queue: DataFrame, key: str, place: str, wanted: list[str]) -> DataFrame:
     """The queue with the wanted keys first, in that order, the others in the old one (the list is written by hand)."""
     at = F.array_position(F.array(*[F.lit(w) for w in wanted]), F.col(key)) if wanted else F.lit(0)

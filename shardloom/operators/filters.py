@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import caption_valid, word_count
+from .ranking import global_rank, seeded_order
 
 
 def drop_reason(caption: Column, width: Column, height: Column, min_words: int = 5, min_side: int = 256) -> Column:
@@ -88,10 +89,66 @@ def pack(df: DataFrame, key: str, size: int, ranges: int = 512) -> DataFrame:
 
     Places are counted per hash range and inside it, so no task orders the whole.
     """
-    keyed = df.withColumn("__h", F.xxhash64(key)).withColumn("__r", F.pmod("__h", F.lit(ranges)))
+    keyed = df.withColumn("__h", seeded_order(key, 0)).withColumn("__r", F.pmod("__h", F.lit(ranges)))
     counts = keyed.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # ``ranges`` rows
     offsets = counts.select("__r", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__b"))
     place = F.col("__b") + F.row_number().over(Window.partitionBy("__r").orderBy("__h", key)) - 1
     out = keyed.join(F.broadcast(offsets), "__r").withColumn("__p", place)
     return out.withColumn("bin", F.floor(F.col("__p") / size)).withColumn("slot", F.pmod("__p", F.lit(size))).drop("__h", "__r", "__b", "__p")
+
+
+def pack_in_order(df: DataFrame, key: str, size: int) -> DataFrame:
+    """``bin, slot``: rows in order of a numeric key into shards of ``size`` rows, the last one partial; keys are unique."""
+    ranked = global_rank(df, -F.col(key), key, "__k", "__t")
+    return ranked.withColumn("bin", F.floor((F.col("__k") - 1) / size)).withColumn("slot", F.pmod(F.col("__k") - 1, F.lit(size))).drop("__k", "__t")
+
+
+def random_cap(df: DataFrame, group: str, key: str, n: int, seed: int = 42, allowed: DataFrame | None = None) -> DataFrame:
+    """``n`` rows of each group in a seeded order, after an allow-list if one is given (this is the operator's cap)."""
+    return capped(df, group, [seeded_order(key, seed), F.asc(key)], n, allowed, key)
+
+
+def falsy(value: Column, default: float) -> Column:
+    """The value as a double, ``default`` where it is null, NaN or 0."""
+    v = value.try_cast("double")
+    return F.when(v.isNotNull() & ~F.isnan(v) & (v != 0), v).otherwise(F.lit(default))
+
+
+def web_filter(df: DataFrame, key: str, rows: int | None = None, min_aesthetic: float = 4.5, min_side: float = 512, min_similarity: float = 0.30, max_nsfw: float = 0.30, max_watermark: float = 0.30) -> DataFrame:
+    """``key, url, caption`` of crawl rows with an address, a text and good scores; at most ``rows``, in order of key.
+
+    Columns are url, text, width, height, aesthetic, similarity, nsfw and
+    watermark. A missing score fails; so does a score of 0 for nsfw and
+    watermark, as 0 counts as missing there.
+    """
+    good = (
+        (F.coalesce("url", F.lit("")) != "")
+        & (F.coalesce("text", F.lit("")) != "")
+        & (falsy(F.col("aesthetic"), 0.0) >= min_aesthetic)
+        & (F.least(falsy(F.col("width"), 0.0), falsy(F.col("height"), 0.0)) >= min_side)
+        & (falsy(F.col("similarity"), 0.0) >= min_similarity)
+        & (falsy(F.col("nsfw"), 1.0) <= max_nsfw)
+        & (falsy(F.col("watermark"), 1.0) <= max_watermark)
+    )
+    out = df.where(good).select(key, "url", F.col("text").alias("caption"))
+    return out if rows is None else out.orderBy(key).limit(rows)
+
+
+def aliased_web_filter(df: DataFrame, key: str, aliases: dict[str, list[str]], rows: int | None = None, min_aesthetic: float = 5.5, min_side: float = 512) -> DataFrame:
+    """The same for a source whose columns go by several names: of those that exist the first value that is not empty, 0 or null counts."""
+
+    def first(name: str, number: bool) -> Column:
+        have = [F.col(f"`{c}`") for c in aliases[name] if c in df.columns]
+        values = [F.nullif(falsy(c, 0.0), F.lit(0.0)) if number else F.nullif(c, F.lit("")) for c in have]
+        return F.coalesce(*values, F.lit(0.0) if number else F.lit("")) if values else F.lit(0.0 if number else "")
+
+    good = (first("aesthetic", True) >= min_aesthetic) & (first("width", True) >= min_side) & (first("height", True) >= min_side) & (first("url", False) != "") & (first("text", False) != "")
+    out = df.where(good).select(key, first("url", False).alias("url"), first("text", False).alias("caption"))
+    return out if rows is None else out.orderBy(key).limit(rows)
+
+
+def ephemeral(name: Column) -> Column:
+    """Whether a campaign is a trial by its name: starts with smoke or test, in any letter case."""
+    low = F.lower(name)
+    return F.coalesce(low.startswith("smoke") | low.startswith("test"), F.lit(False))

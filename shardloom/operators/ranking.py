@@ -5,31 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Value ranges a global rank is cut into.
-RANGES = 1024
+from ..session import stage
 
-
-def global_rank(df: DataFrame, value: Column, tiebreak: str, rank: str = "rank", total: str = "total", ranges: int = RANGES) -> DataFrame:
+def global_rank(df: DataFrame, value: Column, tiebreak: str, rank: str = "rank", total: str = "total") -> DataFrame:
     """``rank`` from 1 by ``value`` descending, then ``tiebreak`` ascending, and the number ranked.
 
-    Rows whose value is null are not ranked: their rank is null. Values are cut
-    into ranges between their least and greatest; a row's rank is the number of
-    rows in higher ranges plus its place in its own. Only the table of ranges
-    is ordered as a whole.
+    Rows whose value is null are not ranked: their rank is null. Rows are laid
+    out in ranges of value and tiebreak together, from a sample of both, so
+    that neither a long tail nor a value that a third of all rows share fills
+    one range. A row's rank is the number of rows in earlier ranges plus its
+    place in its own. Only the table of ranges is ordered as a whole.
     """
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    width = (high - low) if low is not None and high > low else 1.0
-    keyed = df.withColumn("__v", value).withColumn("__r", F.when(F.col("__v").isNotNull(), F.floor((F.col("__v") - F.lit(low or 0.0)) / F.lit(float(width)) * (ranges - 1)).cast("int")))
-    counts = keyed.where("__r IS NOT NULL").groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
-    over = Window.partitionBy(F.lit(0)).orderBy(F.desc("__r"))  # at most ``ranges`` rows
-    offsets = counts.select(
-        "__r",
-        (F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"),
-        F.sum("__n").over(Window.partitionBy(F.lit(0))).alias(total),
-    )
-    inside = Window.partitionBy("__r").orderBy(F.desc("__v"), F.asc(tiebreak))
-    out = keyed.join(F.broadcast(offsets), "__r", "left").withColumn(rank, F.when(F.col("__r").isNotNull(), F.col("__before") + F.row_number().over(inside)))
-    return out.drop("__v", "__r", "__before")
+    keyed = df.withColumn("__v", value)
+    laid = keyed.where("__v IS NOT NULL").repartitionByRange(F.desc("__v"), F.asc(tiebreak)).sortWithinPartitions(F.desc("__v"), F.asc(tiebreak))
+    # the number of the range and the place in it
+    laid = stage(laid.withColumn("__m", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    laid = laid.withColumn("__r", part)
+    over = Window.partitionBy(F.lit(0)).orderBy("__r")  # one row per range
+    counts = laid.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select("__r", (F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__b"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias(total))
+    ranked = laid.join(F.broadcast(offsets), "__r").withColumn(rank, F.col("__b") + place + 1).drop("__v", "__m", "__r", "__b")
+    rest = keyed.where("__v IS NULL").drop("__v").withColumn(rank, F.lit(None).cast("bigint")).withColumn(total, F.lit(None).cast("bigint"))
+    return ranked.unionByName(rest)
 
 
 def top_share(rank: Column, total: Column, percent: float) -> Column:
@@ -43,14 +41,15 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int)
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def seeded_order(key: str, seed: int) -> Column:
-    """A random but repeatable order of rows by key."""
-    return F.xxhash64(F.col(key), F.lit(seed))
+def seeded_order(key: str | Column, seed: int) -> Column:
+    """A random but repeatable number of 60 bits by key: the first digits of the MD5 of key and seed, as any engine can make it."""
+    text = F.concat_ws(":", (F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def seeded_slice(df: DataFrame, group: str, key: str, index: int, of: int, seed: int = 42, ranges: int = 256) -> DataFrame:
     """Slice ``index`` (from 1) of ``of`` of each group in a seeded order; slices are disjoint and together whole."""
-    keyed = df.withColumn("__h", seeded_order(key, seed)).withColumn("__r", F.shiftright("__h", 56))
+    keyed = df.withColumn("__h", seeded_order(key, seed)).withColumn("__r", F.shiftright("__h", 52))
     counts = keyed.groupBy(group, "__r").agg(F.count(F.lit(1)).alias("__n"))
     by = Window.partitionBy(group)
     before = by.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,7 +63,7 @@ def seeded_slice(df: DataFrame, group: str, key: str, index: int, of: int, seed:
 
 def weighted_sample(df: DataFrame, key: str, weight: Column, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows drawn without replacement with probability by weight: greatest u ** (1 / w). Null and zero weights are never drawn."""
-    u = (F.pmod(seeded_order(key, seed), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    u = (seeded_order(key, seed) + 1) / F.lit(float(1 << 60))
     return df.withColumn("__k", F.when(weight > 0, F.ln(u) / weight)).where("__k IS NOT NULL").orderBy(F.desc("__k"), key).limit(n).drop("__k")
 
 
@@ -79,3 +78,25 @@ def stride_sample(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
     ranked = df.withColumn("__p", F.row_number().over(by.orderBy(key)) - 1).withColumn("__t", F.count(F.lit(1)).over(by))
     step = F.greatest(F.lit(1), F.floor(F.col("__t") / n))
     return ranked.where((F.col("__p") % step == 0) & (F.col("__p") / step < n)).drop("__p", "__t")
+
+
+def with_replacement(main: DataFrame, others: dict[str, tuple[DataFrame, float]], key: str, seed: int = 42) -> DataFrame:
+    """``key, part``: the main rows once each (part ``main``), and rows drawn with replacement so that part ``name`` has its share of the whole.
+
+    ``others`` gives a table and a share for each further part; shares of 1 or
+    more together are an error. A part draws floor(main * share / (1 - sum of
+    shares)) rows by a seeded number; an empty part draws none.
+    """
+    shares = sum(share for _, share in others.values())
+    if shares >= 1 or any(share < 0 for _, share in others.values()):
+        raise ValueError("the shares of the other parts must be below 1 together")
+    spark, n = main.sparkSession, main.count()
+    out = main.select(F.col(key), F.lit("main").alias("part"))
+    for name, (rows, share) in others.items():
+        draws = int(n * share / (1 - shares) + 1e-9)
+        placed = global_rank(rows.select(key), F.lit(0), key)
+        size = rows.count()
+        if draws and size:
+            drawn = spark.range(draws).select((F.pmod(seeded_order("id", seed), F.lit(size)) + 1).alias("rank"))
+            out = out.union(drawn.join(placed, "rank").select(key, F.lit(name).alias("part")))
+    return out

@@ -146,21 +146,26 @@ def centroids(df: DataFrame, group: str, vec: str) -> DataFrame:
     return rows.select(group, arr.alias("c")).select(group, F.transform("c", lambda y: y / F.greatest(length, F.lit(1e-8))).alias("centroid"))
 
 
-def farthest_points(df: DataFrame, key: str, vec: str, n: int, start: str | None = None) -> DataFrame:
+def farthest_points(df: DataFrame, key: str, vec: str, n: int, start: str | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """``key, place, nearest``: rows picked one after another, each the least similar to those picked before.
 
     Every round is one pass over staged rows that keeps, per row, its greatest
     cosine to the picked ones, and hands back one row per partition. Ties go to
-    the smaller key; the first is ``start`` or the smallest key.
+    the smaller key; the first is ``start`` or the smallest key. With ``seeds``
+    (rows picked already, as many as fit on the driver) ``n`` more are picked
+    and only those come out.
     """
     spark = df.sparkSession
     rows = stage(usable(df, vec).select(F.col(key).cast("string").alias("k"), F.col(vec).alias("v")), "points")
-    first = rows.where(F.col("k") == start).first() if start else rows.orderBy("k").limit(1).first()
-    if first is None:
-        return spark.createDataFrame([], f"{key} string, place int, nearest double")
-    picked, near = [first.k], [float("nan")]
-    chosen = [_unit([first.v])[0]]
-    while len(picked) < n:
+    given = usable(seeds, vec).select(F.col(key).cast("string").alias("k"), F.col(vec).alias("v")).orderBy("k").collect() if seeds is not None else []
+    if given:
+        picked, near, chosen = [r.k for r in given], [float("nan")] * len(given), list(_unit([r.v for r in given]))
+    else:
+        first = rows.where(F.col("k") == start).first() if start else rows.orderBy("k").limit(1).first()
+        if first is None:
+            return spark.createDataFrame([], f"{key} string, place int, nearest double")
+        picked, near, chosen = [first.k], [float("nan")], [_unit([first.v])[0]]
+    while len(picked) < n + len(given):
         done, marks = set(picked), np.stack(chosen)
 
         def run(batches: Iterator[pd.DataFrame], done=done, marks=marks) -> Iterator[pd.DataFrame]:
@@ -182,4 +187,4 @@ def farthest_points(df: DataFrame, key: str, vec: str, n: int, start: str | None
         picked.append(nxt.k)
         near.append(nxt.s)
         chosen.append(_unit([nxt.v])[0])
-    return spark.createDataFrame([(k, i, None if s != s else s) for i, (k, s) in enumerate(zip(picked, near))], f"{key} string, place int, nearest double")
+    return spark.createDataFrame([(k, i, None if s != s else s) for i, (k, s) in enumerate(zip(picked[len(given) :], near[len(given) :]))], f"{key} string, place int, nearest double")

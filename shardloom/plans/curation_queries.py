@@ -54,12 +54,6 @@ def source_holdout(spark, folder):
     return C.rotating_holdout(_pool(spark, folder), "source", 11).groupBy("source").agg(F.count(F.lit(1)).alias("shards"))
 
 
-@query()
-def select_shards(spark, folder):
-    """A hundred shards in four phases."""
-    return C.select_under_quotas(_pool(spark, folder), "shard_id", "source", "final_value_score", 100)
-
-
 @query("""WITH r AS (SELECT p_brand AS arm, p_type AS metric, avg(p_retailprice) AS v FROM part GROUP BY 1, 2), f AS (SELECT metric, v AS ref FROM r WHERE arm = 'Brand#1')
 SELECT arm, metric, round((CASE WHEN lower(metric) IN ('economy', 'promo') THEN 1 ELSE -1 END) * (v - ref) / CASE WHEN ref = 0 THEN 1 ELSE abs(ref) END, 6) + 0.0 AS change,
   CASE WHEN (CASE WHEN lower(metric) IN ('economy', 'promo') THEN 1 ELSE -1 END) * (v - ref) / CASE WHEN ref = 0 THEN 1 ELSE abs(ref) END > 0.03 THEN 1 ELSE 0 END AS failed FROM r JOIN f USING (metric) WHERE arm <> 'Brand#1'""")
@@ -80,10 +74,8 @@ def champion_hysteresis(spark, folder):
 @query("""WITH n AS (SELECT o_orderkey, o_totalprice, o_orderkey % 13 AS side, lead(o_totalprice) OVER w AS m, lead(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 13 END) OVER w AS s, lead(o_orderkey) OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
 SELECT o_orderkey FROM n WHERE k IS NOT NULL AND m > o_totalprice AND (s IS NULL OR s > side)""")
 def supersede(spark, folder):
-    o = table(spark, folder, "orders").withColumn("own", F.col("o_orderkey") % 13)
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    nxt = o.withColumn("nm", F.lead("o_totalprice").over(w)).withColumn("ns", F.lead(F.when(F.col("o_orderstatus") != "P", F.col("own"))).over(w)).withColumn("nk", F.lead("o_orderkey").over(w))
-    return nxt.where(F.col("nk").isNotNull() & (F.col("nm") > F.col("o_totalprice")) & (F.col("ns").isNull() | (F.col("ns") > F.col("own")))).select("o_orderkey")
+    o = table(spark, folder, "orders").withColumn("side", F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 13)).withColumn("own", F.col("o_orderkey") % 13)
+    return C.superseded(o, "o_custkey", "o_orderkey", ["o_orderdate", "o_orderkey"], "o_totalprice", "own", "side")
 
 
 @query("""WITH o AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderdate < TIMESTAMP '1998-06-01' GROUP BY 1), n AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01' GROUP BY 1)
@@ -123,12 +115,12 @@ def pairwise_correlation(spark, folder):
     return C.mean_correlation(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).withColumn("mean_corr", F.round("mean_corr", 6))
 
 
-@query("""WITH i AS (SELECT DISTINCT date_trunc('month', l_shipdate) AS m FROM lineitem ORDER BY m DESC LIMIT 6), s AS (SELECT l_suppkey AS shard FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, l_suppkey LIMIT 20)
+@query("""WITH i AS (SELECT DISTINCT date_trunc('month', l_shipdate) AS m FROM lineitem ORDER BY m DESC LIMIT 30), s AS (SELECT l_suppkey AS shard FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, l_suppkey LIMIT 20)
 SELECT s.shard, strftime(i.m, '%Y-%m') AS month, CASE WHEN EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.shard AND date_trunc('month', l.l_shipdate) = i.m AND l.l_returnflag <> 'R') THEN 1 ELSE 0 END AS chosen FROM s, i""")
 def selection_heatmap(spark, folder):
-    """The twenty most used shards by the last six months: chosen or not."""
+    """The twenty most used shards by the last thirty months: chosen or not."""
     l = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("shard"), F.date_format("l_shipdate", "yyyy-MM").alias("month"), (F.col("l_returnflag") != "R").cast("int").alias("c"))
-    months = [r.month for r in l.select("month").distinct().orderBy(F.desc("month")).limit(6).collect()]
+    months = [r.month for r in l.select("month").distinct().orderBy(F.desc("month")).limit(30).collect()]
     top = l.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "shard").limit(20).select("shard")
     wide = l.join(F.broadcast(top), "shard").groupBy("shard").pivot("month", months).agg(F.max("c")).na.fill(0)
     return wide.select("shard", F.explode(F.array(*[F.struct(F.lit(m).alias("month"), F.col(m).alias("chosen")) for m in months])).alias("x")).select("shard", "x.month", "x.chosen")

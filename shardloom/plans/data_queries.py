@@ -55,9 +55,9 @@ def ingest_filter_dedup(spark, folder):
     return FI.insert_or_ignore(new, "id", "batch", i.where("batch = 0")).select("id", "batch")
 
 
-@query("""WITH d AS (SELECT doc_id, text, list_transform(list_filter(regexp_split_to_array(trim(coalesce(text, ''), ' '), '\\s+'), lambda w: w <> ''), lambda w: lower(w)) AS w, lower(trim(coalesce(text, ''), ' ')) AS low FROM documents),
+@query("""WITH d AS (SELECT doc_id, text, list_transform(list_filter(regexp_split_to_array(trim(coalesce(text, ''), ' '), '\\s+'), lambda w: w <> ''), lambda w: lower(w)) AS w, lower(coalesce(text, '')) AS low FROM documents),
 p AS (SELECT *, len(w) AS n, CASE WHEN len(w) >= 3 THEN [list_aggregate(w[i:i+2], 'string_agg', ' ') FOR i IN range(1, len(w) - 1)] END AS t,
-  CASE WHEN starts_with(low, 'http') OR contains(low, 'www.') THEN 0.4 ELSE 0 END + CASE WHEN regexp_matches(low, '\\.(jpg|jpeg|png|gif|webp)') THEN 0.3 ELSE 0 END + CASE WHEN len(low) - len(replace(low, '|', '')) > 3 OR len(low) - len(replace(low, '_', '')) > 5 THEN 0.2 ELSE 0 END AS art FROM d)
+  CASE WHEN starts_with(low, 'http') OR contains(low, 'www.') THEN 0.4 ELSE 0 END + CASE WHEN regexp_matches(low, '\\.(jpg|jpeg|png|gif|webp|bmp|tiff?)(\\s|$)') THEN 0.3 ELSE 0 END + CASE WHEN len(low) - len(replace(low, '|', '')) > 3 OR len(low) - len(replace(low, '_', '')) > 5 THEN 0.2 ELSE 0 END AS art FROM d)
 SELECT doc_id, round(CASE WHEN n = 0 THEN 0 WHEN n < 5 THEN 0.1 ELSE greatest(0, least(1, 0.4 * CASE WHEN n < 20 THEN n / 20.0::DOUBLE WHEN n <= 80 THEN 1.0 ELSE greatest(0.3, 1 - (n - 80) / 200.0::DOUBLE) END + 0.4 * len(list_distinct(w)) / n - (1 - len(list_distinct(t)) / len(t)) / 2 - art::DOUBLE)) END, 4) AS quality FROM p""")
 def caption_quality(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.round(T.caption_quality(F.col("text")), 4).alias("quality"))
@@ -114,21 +114,27 @@ def full_outer_coverage(spark, folder):
     return both.select(F.coalesce("source", "s2").alias("name"), F.coalesce("campaign", "c2").alias("campaign"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
 
 
-@query()
+CURRENT = "cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY indexed_at DESC NULLS LAST) AS rn FROM shards WHERE shard_id IS NOT NULL) WHERE rn = 1)"
+
+
+@query(f"""WITH {CURRENT}, h AS (SELECT shard_id, coalesce(source, '') AS source, ('0x' || substr(md5(shard_id || ':42'), 1, 15))::BIGINT AS h FROM cur),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, shard_id) - 1 AS p, count(*) OVER (PARTITION BY source) AS t FROM h) SELECT shard_id, source FROM r WHERE p >= t // 5 AND p < 2 * t // 5""")
 def seeded_slice(spark, folder):
     """The second of five slices of every source's shards."""
     s = latest_rows(table(spark, folder, "shards"), "shard_id", "indexed_at").select("shard_id", F.coalesce("source", F.lit("")).alias("source"))
     return R.seeded_slice(s, "source", "shard_id", 2, 5)
 
 
-@query()
+@query(f"""WITH {CURRENT}, h AS (SELECT shard_id, CASE WHEN isnan(final_value_score) THEN 0 ELSE final_value_score END AS w, (('0x' || substr(md5(shard_id || ':42'), 1, 15))::BIGINT + 1) / 1152921504606846976.0::DOUBLE AS u FROM cur)
+SELECT shard_id, w FROM h WHERE w > 0 ORDER BY ln(u) / w DESC, shard_id LIMIT 100""")
 def weighted_sample(spark, folder):
     """A hundred shards drawn without replacement by their value."""
     s = latest_rows(table(spark, folder, "shards"), "shard_id", "indexed_at").select("shard_id", F.nanvl("final_value_score", F.lit(0.0)).alias("w"))
     return R.weighted_sample(s, "shard_id", F.col("w"), 100)
 
 
-@query()
+@query("""WITH p AS (SELECT row_number() OVER (ORDER BY ('0x' || substr(md5(id || ':0'), 1, 15))::BIGINT % 512, ('0x' || substr(md5(id || ':0'), 1, 15))::BIGINT, id) - 1 AS p FROM (SELECT DISTINCT id FROM images WHERE id IS NOT NULL))
+SELECT p // 500 AS bin, count(*) AS n, max(p % 500) AS last_slot FROM p GROUP BY 1""")
 def shard_packing(spark, folder):
     """Records packed into bins of 500, with the bins' sizes and ends."""
     one = _images(spark, folder).where("id IS NOT NULL").select("id").distinct()

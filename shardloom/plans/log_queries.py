@@ -62,7 +62,8 @@ def running_mean(spark, folder):
     return out.withColumn("mean", F.round("mean", 4))
 
 
-@query()
+@query(f"""WITH {LOG}, o AS (SELECT shard, role, list(cond_gap ORDER BY iteration, l_orderkey, l_linenumber) AS l FROM log GROUP BY 1, 2)
+SELECT shard, role, len(l) AS n, round(list_reduce(list_prepend(NULL::DOUBLE, l), lambda a, x: CASE WHEN x IS NULL THEN a WHEN a IS NULL THEN x ELSE a + (x - a) * 0.2 END), 4) AS mean FROM o""")
 def ema_fold(spark, folder):
     out = A.running_fold(_log(spark, folder), ["shard", "role"], ["iteration", "l_orderkey", "l_linenumber"], "cond_gap", alpha=0.2)
     return out.withColumn("mean", F.round("mean", 4))
@@ -90,21 +91,33 @@ def share_drift(spark, folder):
     return A.share_drift(_log(spark, folder), "iteration", "source")
 
 
-_EFFECTIVE = f"""WITH {LOG}, m AS (SELECT shard, avg(ref_gap) AS r, avg(cond_gap) AS c, avg(loss) AS l, avg(cond_gap) FILTER (role = 'included') - avg(cond_gap) FILTER (role = 'excluded') AS a,
-  count(cond_gap) FILTER (role = 'included') AS i, count(cond_gap) FILTER (role = 'excluded') AS e, quantile_cont(loss, 0.95) AS p95, count(*) FILTER (loss > 3) AS hard FROM log GROUP BY shard),
-s AS (SELECT shard, a, i, e, hard, p95, (coalesce(least(1, r * 8) * 0.2, 0) + coalesce(least(1, c * 8) * 0.65, 0) + coalesce(greatest(0, 1 - l / 5) * 0.15, 0)) / ((CASE WHEN r IS NULL THEN 0 ELSE 0.2 END + CASE WHEN c IS NULL THEN 0 ELSE 0.65 END + CASE WHEN l IS NULL THEN 0 ELSE 0.15 END)::DOUBLE) AS raw,
-  CASE WHEN i >= 3 AND e >= 3 THEN least(1, 2.0 * i * e / (i + e) / 3) ELSE 0 END AS conf FROM m),
-f AS (SELECT shard, raw, conf, greatest(0, least(1, greatest(0, least(1, raw + conf * coalesce(a, 0))) + 0.05 * least(1, hard / 50.0) - 0.05 * greatest(0, least(1, (p95 - 1.5) / 3)))) AS eff FROM s)
+def _norm(gap: str) -> str:
+    return f"greatest(0, least(1, {gap} + 0.5))"
+
+
+def _composite(ref: str, cond: str, loss: str | None = None) -> str:
+    """SQL of the composite of present signals."""
+    parts = [(ref, _norm(ref), 0.2), (cond, _norm(cond), 0.65)] + ([(loss, f"(1 - greatest(0, least(1, ({loss} - 0.3) / 2.7)))", 0.15)] if loss else [])
+    value = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {w}::DOUBLE * {n} END" for c, n, w in parts)
+    have = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {w}::DOUBLE END" for c, _, w in parts)
+    return f"CASE WHEN {have} > 0 THEN ({value}) / ({have}) END"
+
+
+_EFFECTIVE = f"""WITH {LOG}, m AS (SELECT shard, avg(ref_gap) FILTER (role = 'included') AS ri, avg(cond_gap) FILTER (role = 'included') AS ci, avg(loss) FILTER (role = 'included') AS li, avg(ref_gap) FILTER (role = 'excluded') AS re, avg(cond_gap) FILTER (role = 'excluded') AS ce,
+  count(*) FILTER (role = 'included') AS i, count(*) FILTER (role = 'excluded') AS e, quantile_cont(loss, 0.95) AS p95, count(*) FILTER (loss > 3) AS hard FROM log GROUP BY shard),
+s AS (SELECT shard, hard, p95, {_composite("ri", "ci", "li")} AS raw, {_composite("ri", "ci")} - {_composite("re", "ce")} AS a, CASE WHEN i >= 3 AND e >= 3 THEN least(1, 2.0 * i * e / (i + e) / 3) ELSE 0 END AS conf FROM m),
+f AS (SELECT shard, raw, conf, greatest(0, least(1, CASE WHEN a IS NOT NULL AND conf > 0 THEN greatest(0, least(1, raw + conf * a)) ELSE raw END + 0.05 * least(1, hard / 50.0) - 0.05 * greatest(0, least(1, (coalesce(p95, 0) - 1.5) / 3)))) AS eff FROM s WHERE raw IS NOT NULL
+  UNION ALL SELECT shard, NULL, conf, NULL FROM s WHERE raw IS NULL)
 """
 
 
 def _effective(spark, folder):
     log = _log(spark, folder)
-    m = log.groupBy("shard").agg(F.avg("ref_gap").alias("r"), F.avg("cond_gap").alias("c"), F.avg("loss").alias("l"), F.percentile("loss", 0.95).alias("p95"), F.count_if(F.col("loss") > 3).alias("hard"))
-    m = m.join(A.role_means(log, ["shard"], "cond_gap"), "shard")
-    raw = A.composite(F.when(F.col("r").isNotNull(), F.least(F.lit(1.0), F.col("r") * 8)), F.when(F.col("c").isNotNull(), F.least(F.lit(1.0), F.col("c") * 8)), F.when(F.col("l").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("l") / 5)))
-    conf = A.confidence(F.col("included_n"), F.col("excluded_n"), 3)
-    lift = F.coalesce(F.col("included_mean") - F.col("excluded_mean"), F.lit(0.0))
+    m = log.groupBy("shard").agg(F.percentile("loss", 0.95).alias("p95"), F.count_if(F.col("loss") > 3).alias("hard"))
+    m = m.join(A.observation_fold(log, ["shard"], ["iteration", "l_orderkey", "l_linenumber"], ["ref_gap", "cond_gap", "loss"]), "shard")
+    raw = A.composite(F.col("ref_gap_included"), F.col("cond_gap_included"), F.col("loss_included"))
+    conf = A.confidence(F.col("n_included"), F.col("n_excluded"), 3)
+    lift = A.composite(F.col("ref_gap_included"), F.col("cond_gap_included")) - A.composite(F.col("ref_gap_excluded"), F.col("cond_gap_excluded"))
     return m.withColumn("raw", raw).withColumn("conf", conf).withColumn("eff", A.effective(F.col("raw"), F.col("conf"), lift, F.col("hard"), F.col("p95")))
 
 
@@ -113,9 +126,25 @@ def effective_score(spark, folder):
     return _effective(spark, folder).select("shard", F.round("raw", 4).alias("raw"), F.round("conf", 4).alias("confidence"), F.round("eff", 4).alias("effective"))
 
 
-@query(_EFFECTIVE + "SELECT shard, round(abs(eff - raw), 4) AS moved, CASE WHEN (eff >= 0.5) <> (raw >= 0.5) THEN 1 ELSE 0 END AS flipped FROM f")
+@query(_EFFECTIVE + "SELECT shard, round(coalesce(nullif(eff, 0), raw) - raw, 4) + 0.0 AS moved, CASE WHEN (eff >= 0.5) <> (raw >= 0.5) THEN 1 ELSE 0 END AS flipped, row_number() OVER (ORDER BY round(abs(coalesce(eff, 0) - raw), 9) DESC NULLS LAST, shard) AS place FROM f")
 def attribution_flips(spark, folder):
-    return _effective(spark, folder).select("shard", F.round(F.abs(F.col("eff") - F.col("raw")), 4).alias("moved"), ((F.col("eff") >= 0.5) != (F.col("raw") >= 0.5)).cast("int").alias("flipped"))
+    """Shards by how far attribution moves their score; a score of 0 counts as none in what is reported."""
+    from ..operators.ranking import global_rank
+
+    e = _effective(spark, folder)
+    far = F.coalesce(F.round(F.abs(F.coalesce("eff", F.lit(0.0)) - F.col("raw")), 9), F.lit(-1.0))
+    moved = F.round(F.coalesce(F.nullif("eff", F.lit(0.0)), F.col("raw")) - F.col("raw"), 4) + F.lit(0.0)
+    flipped = F.coalesce((F.col("eff") >= 0.5) != (F.col("raw") >= 0.5), F.lit(False)).cast("int")
+    return global_rank(e, far, "shard", "place").select("shard", moved.alias("moved"), flipped.alias("flipped"), F.col("place").cast("bigint").alias("place"))
+
+
+@query(f"""WITH {LOG}, m AS (SELECT shard, role, count(*) AS n, avg(cond_gap) AS mean, max_by(cond_gap, (iteration, l_orderkey, l_linenumber)) FILTER (cond_gap IS NOT NULL) AS last FROM log GROUP BY 1, 2)
+SELECT shard, max(n) FILTER (role = 'included') AS n_included, round(max(mean) FILTER (role = 'included'), 4) AS mean_included, max(last) FILTER (role = 'included') AS last_included,
+  max(n) FILTER (role = 'excluded') AS n_excluded, round(max(mean) FILTER (role = 'excluded'), 4) AS mean_excluded, max(last) FILTER (role = 'excluded') AS last_excluded FROM m GROUP BY 1""")
+def observation_fold(spark, folder):
+    out = A.observation_fold(_log(spark, folder), ["shard"], ["iteration", "l_orderkey", "l_linenumber"], ["cond_gap"])
+    n = lambda r: F.nullif(f"n_{r}", F.lit(0)).alias(f"n_{r}")
+    return out.select("shard", *[c for r in ("included", "excluded") for c in (n(r), F.round(f"cond_gap_{r}", 4).alias(f"mean_{r}"), F.col(f"last_cond_gap_{r}").alias(f"last_{r}"))])
 
 
 @query(f"""WITH {LOG} SELECT shard, round(avg(cond_gap), 4) AS cond, round(avg(ref_gap), 4) AS ref, count(*) AS n, max_by(l_orderkey * 10 + l_linenumber, (iteration, l_orderkey, l_linenumber)) AS last_observation FROM log WHERE campaign = 1997 GROUP BY shard""")
@@ -204,7 +233,9 @@ def evals_since_best(spark, folder):
     return S.since_best(_runs(spark, folder), BY, ORDER, "v").select("o_custkey", F.round("best", 4).alias("best"), "since")
 
 
-@query()
+@query(f"""WITH {RUNS}, o AS (SELECT o_custkey, list(v ORDER BY o_orderdate, o_orderkey) AS l FROM runs WHERE v IS NOT NULL GROUP BY 1)
+SELECT o_custkey, list_reduce(l, lambda s, x: {{'high': CASE WHEN s.high IS NULL OR x > s.high + 5000 THEN x ELSE s.high END, 'wait': CASE WHEN s.high IS NULL OR x > s.high + 5000 THEN 0 ELSE s.wait + 1 END, 'i': s.i + 1,
+  'stop': CASE WHEN s.stop IS NOT NULL THEN s.stop WHEN NOT (s.high IS NULL OR x > s.high + 5000) AND s.wait + 1 >= 4 THEN s.i + 1 END}}, {{'high': NULL::DOUBLE, 'wait': 0, 'i': 0, 'stop': NULL::INT}}).stop AS stop_at FROM o""")
 def early_stop(spark, folder):
     return S.early_stop(_runs(spark, folder), BY, ORDER, "v", 4, 5000.0)
 

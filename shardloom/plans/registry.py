@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import comparison_queries, curation_queries, data_queries, log_queries, pool_queries, stream_queries
+from . import comparison_queries, curation_queries, data_queries, log_queries, pool_queries, report_queries, rule_queries, stream_queries
 
 
 def _modules() -> list:
-    return [pool_queries, log_queries, data_queries, stream_queries, curation_queries, comparison_queries]
+    return [pool_queries, log_queries, data_queries, stream_queries, curation_queries, comparison_queries, rule_queries, report_queries]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

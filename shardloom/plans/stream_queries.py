@@ -40,6 +40,10 @@ f AS (SELECT doc_id, i, try_cast(replace(regexp_extract(line, 'step\s+([\d,]+)',
   try_cast(nullif(regexp_extract(line, 'VAL gap\s+([-+\d.eE]+)', 1), '') AS DOUBLE) AS val_gap, try_cast(nullif(regexp_extract(line, 'pairs=(\d+)', 1), '') AS DOUBLE) AS pairs FROM l)"""
 
 SQL = {
+    "stream_early_stop": """WITH o AS (SELECT user_id, list(value ORDER BY event_id) AS l FROM events WHERE value IS NOT NULL GROUP BY 1),
+r AS (SELECT user_id, list_reduce(l, lambda s, x: {'high': CASE WHEN s.high IS NULL OR x > s.high + 1 THEN x ELSE s.high END, 'wait': CASE WHEN s.high IS NULL OR x > s.high + 1 THEN 0 ELSE s.wait + 1 END, 'n': s.n + 1,
+  'stop': CASE WHEN s.stop IS NOT NULL THEN s.stop WHEN NOT (s.high IS NULL OR x > s.high + 1) AND s.wait + 1 >= 3 THEN s.n + 1 END}, {'high': NULL::DOUBLE, 'wait': 0, 'n': 0, 'stop': NULL::INT}) AS s FROM o)
+SELECT user_id, s.n AS seen, s.high AS high, s.stop AS stop_at FROM r""",
     "stream_follow": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1",
     "log_metrics": f"""WITH {_LINES}, g AS (SELECT doc_id, max_by(step, i) FILTER (step IS NOT NULL) AS step, max_by(loss_cond, i) FILTER (loss_cond IS NOT NULL) AS loss_cond, max_by(loss_ref, i) FILTER (loss_ref IS NOT NULL) AS loss_ref,
   max_by(ip_scale, i) FILTER (ip_scale IS NOT NULL) AS ip_scale, max_by(val_gap, i) FILTER (val_gap IS NOT NULL AND coalesce(pairs, 0) >= 16) AS val_gap FROM f GROUP BY 1)

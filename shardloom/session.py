@@ -34,8 +34,8 @@ def build_session(app: str = "shardloom", master: str | None = None, conf: dict[
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that setting is missing (tests on one machine) a temporary
-    folder of this machine is used.
+    Only where that setting is missing and all runs on one machine (tests) a
+    temporary folder of this machine is used; on a cluster that is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -46,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     folder = f"file://{tempfile.mkdtemp(prefix='shardloom-')}"
     sc.setCheckpointDir(folder)
     return folder

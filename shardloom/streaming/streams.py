@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,15 @@ def _stream_path(path: str) -> str:
     return path if path.endswith("/") or any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
 
 
-def follow(spark: SparkSession, path: str, like: DataFrame, transform=None, key: str | None = None, at: str | None = None, late: str = "1 day", mode: str = "append") -> DataFrame:
+def follow(spark: SparkSession, path: str, like: DataFrame, transform=None, key: str | None = None, at: str | None = None, late: str = "1 day", mode: str = "append", folder: str | None = None) -> DataFrame:
     """What a stream over the files at ``path`` writes once it has seen all of them.
 
     Rows of the same ``key`` are taken once within the watermark on ``at``. The
-    stream's progress and output are in the shared folder: a restart goes on
-    where it stopped and writes nothing twice.
+    stream's progress and output are in ``folder``: a call with the same one
+    goes on where the last stopped and writes nothing twice. Without a folder
+    the stream begins anew, in the shared folder.
     """
-    base = f"{shared_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
+    base = folder or f"{shared_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
     rows = spark.readStream.schema(like.schema).parquet(_stream_path(path))
     if at:
         rows = rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
@@ -54,16 +56,18 @@ def early_stops(rows: DataFrame, key: str, order: str, value: str, patience: int
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, high, wait, stop = state.get if state.exists else (0, None, 0, None)
-        for r in pd.concat(list(parts)).sort_values(order, kind="stable")[value]:
-            if r is None or r != r:
-                continue
-            seen += 1
-            if high is None or r > high + min_delta:
-                high, wait = float(r), 0
-            else:
-                wait += 1
-            if stop is None and wait >= patience:
-                stop = seen
+        rows = pd.concat([p[[order, value]] for p in parts]).sort_values(order, kind="stable")[value].to_numpy("f8", na_value=np.nan)
+        rows = rows[~np.isnan(rows)]
+        at = 0
+        while at < len(rows):
+            # from one new high that counts to the next
+            better = np.flatnonzero(rows[at:] > high + min_delta) if high is not None else np.array([0])
+            flat = int(better[0]) if len(better) else len(rows) - at
+            if stop is None and wait + flat >= patience:
+                stop = seen + max(0, patience - wait)
+            wait, seen, at = wait + flat, seen + flat, at + flat
+            if at < len(rows):
+                high, wait, seen, at = float(rows[at]), 0, seen + 1, at + 1
         state.update((seen, high, wait, stop))
         yield pd.DataFrame({key: [k[0]], "seen": [seen], "high": [high], "stop_at": pd.array([stop], "Int64")})
 
@@ -71,9 +75,9 @@ def early_stops(rows: DataFrame, key: str, order: str, value: str, patience: int
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seen bigint, high double, stop_at bigint", "seen bigint, high double, wait bigint, stop bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_early_stops(spark: SparkSession, path: str, like: DataFrame, key: str, order: str, value: str, patience: int, min_delta: float) -> DataFrame:
-    """The final state of ``early_stops`` over all files at ``path``: the row of each key with the most rows seen."""
-    base = f"{shared_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
+def run_early_stops(spark: SparkSession, path: str, like: DataFrame, key: str, order: str, value: str, patience: int, min_delta: float, folder: str | None = None) -> DataFrame:
+    """The final state of ``early_stops`` over all files at ``path``: the row of each key with the most rows seen; ``folder`` as in ``follow``."""
+    base = folder or f"{shared_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
     out = early_stops(spark.readStream.schema(like.schema).parquet(_stream_path(path)), key, order, value, patience, min_delta)
 
     def keep(batch: DataFrame, number: int) -> None:

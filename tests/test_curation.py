@@ -29,18 +29,6 @@ def test_near_duplicates_against_a_loop(spark):
     assert C.near_duplicates(df.limit(0), df, "id", "v", "o").count() == 0
 
 
-def test_selection_keeps_its_promises(spark):
-    rows = [(f"{i:03d}", f"s{i % 7}", None if i % 3 == 0 else i / 200) for i in range(200)]
-    pool = spark.createDataFrame(rows, "id string, source string, score double")
-    got = C.select_under_quotas(pool, "id", "source", "score", 40).collect()
-    ids = {r.id for r in got}
-    assert len(got) == 40 == len(ids)
-    assert {f"s{int(i) % 7}" for i in ids} == {f"s{i}" for i in range(7)}
-    assert {r[0] for r in sorted((r for r in rows if r[2]), key=lambda r: -r[2])[:20]} <= ids
-    assert C.select_under_quotas(pool, "id", "source", "score", 500).count() == 200
-    assert sorted(got) == sorted(C.select_under_quotas(pool, "id", "source", "score", 40).collect())
-
-
 def test_weighted_decisions(spark):
     w = spark.createDataFrame([("default", 0.5, 0.5, 0.5), ("a", 1.0, 0.0, 0.9)], "g string, w_x double, w_y double, threshold double")
     s = spark.createDataFrame([("a", 0.8, 1.0), ("b", 0.8, None), ("b", None, None), (None, 0.2, 0.2)], "g string, x double, y double")
@@ -55,3 +43,12 @@ def test_holdout_conditions_and_severity(spark):
     assert {r.v for r in C.conditions_hold(df, [("v", ">", 5.0), ("none", "<", 0.0)]).collect()} == {"x", "9"}
     sev = spark.createDataFrame([("ERROR",), ("info",), ("odd",), (None,)], "s string")
     assert [r.s for r in C.at_least_severe(sev, "s", "warning").collect()] == ["ERROR"]
+
+
+def test_alerts_are_handed_over(spark):
+    a = spark.createDataFrame([("x", "critical"), ("y", "info"), ("z", "warning")], "name string, severity string")
+    got: list = []
+    assert C.send_alerts(a, lambda rows: got.extend(rows) or True) == {"sent": True, "n_sent": 2, "n_total": 3, "skipped": 1}
+    assert sorted(r["name"] for r in got) == ["x", "z"]
+    assert C.send_alerts(a.limit(0), lambda rows: 1 / 0)["sent"] is False
+    assert C.send_alerts(a, lambda rows: False)["n_sent"] == 0

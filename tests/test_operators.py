@@ -31,7 +31,7 @@ def test_global_rank_matches_a_sort(spark):
     rng = np.random.default_rng(3)
     vals = [float(v) for v in rng.integers(0, 40, 500)]
     df = spark.createDataFrame([(f"{i:04d}", v) for i, v in enumerate(vals)] + [("none", None)], "id string, v double")
-    got = {r.id: r["rank"] for r in R.global_rank(df, F.col("v"), "id", ranges=16).collect()}
+    got = {r.id: r["rank"] for r in R.global_rank(df, F.col("v"), "id").collect()}
     order = sorted(range(500), key=lambda i: (-vals[i], i))
     assert [got[f"{i:04d}"] for i in order] == list(range(1, 501)) and got["none"] is None
 
@@ -165,3 +165,36 @@ def test_farthest_points(spark, k):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [-1.0, 0.0])], "id string, v array<float>")
     got = [r.id for r in SI.farthest_points(df, "id", "v", k).orderBy("place").collect()]
     assert got == ["a", "c", "b"][:k]
+
+
+def test_composite_and_effective_by_hand(spark):
+    df = spark.createDataFrame([(0.1, 0.2, 1.2), (None, 0.2, None), (None, None, None), (0.9, -0.9, 9.0)], "r double, c double, l double")
+    got = [x and round(x, 6) for (x,) in df.select(A.composite(F.col("r"), F.col("c"), F.col("l"))).collect()]
+    # 0.6 * 0.20 + 0.7 * 0.65 + (1 - 0.9 / 2.7) * 0.15; 0.7 alone; nothing; 1 * 0.20 + 0 + 0
+    assert got == [0.675, 0.7, None, 0.2]
+    e = spark.createDataFrame([(0.5, 0.5, 0.4, 25, 3.0), (0.5, 0.0, 0.4, 0, None), (0.5, 1.0, None, None, 9.0), (0.9, 1.0, 0.5, 100, 1.0), (None, 1.0, 0.5, 1, 1.0)], "raw double, conf double, attr double, hard int, p95 double")
+    got = [x and round(x, 6) for (x,) in e.select(A.effective(F.col("raw"), F.col("conf"), F.col("attr"), F.col("hard"), F.col("p95"))).collect()]
+    # 0.7 + 0.025 - 0.025; no confidence; no attribution and the whole malus; the bonus goes no further than 1
+    assert got == [0.7, 0.5, 0.45, 1.0, None]
+
+
+def test_caption_quality_by_hand(spark):
+    words = "one two three four five six seven eight nine ten"
+    cases = {words: 0.6, words + " photo.TIFF": 0.4 * 11 / 20 + 0.4 - 0.3, words + " photo.bmp,": 0.4 * 11 / 20 + 0.4, "http " + words: 0.4 * 11 / 20 + 0.4 - 0.4, " http " + words: 0.4 * 11 / 20 + 0.4, "a b c d": 0.1, "": 0.0}
+    df = spark.createDataFrame(list(cases.items()), "t string, want double")
+    assert all(abs(r.q - max(0, r.want)) < 1e-9 for r in df.select("want", T.caption_quality(F.col("t")).alias("q")).collect())
+
+
+def test_global_rank_splits_ties(spark):
+    df = spark.range(20_000).select(F.format_string("%06d", F.col("id")).alias("id"), F.when(F.col("id") % 3 > 0, 1.0).otherwise(F.col("id") * 1e6).alias("v"))
+    got = R.global_rank(df, F.col("v"), "id").orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 20_001)) and [(-r.v, r.id) for r in got] == sorted((-r.v, r.id) for r in got)
+    assert R.global_rank(df.limit(0), F.col("v"), "id").count() == 0
+
+
+def test_with_replacement(spark):
+    main, few = spark.range(70), spark.range(1000, 1003)
+    got = [tuple(r) for r in R.with_replacement(main, {"few": (few, 0.3), "none": (few.limit(0), 0.1)}, "id").collect()]
+    assert sum(p == "main" for _, p in got) == 70 and sum(p == "few" for _, p in got) == 35 and not any(p == "none" for _, p in got)
+    with pytest.raises(ValueError):
+        R.with_replacement(main, {"few": (few, 1.0)}, "id")

@@ -29,6 +29,10 @@ def test_archives(spark, tmp_path):
     assert AR.records(spark, str(tmp_path), per_shard=1).count() == 2
     checks = {r.shard: (r.members, r.records, r.unpaired, r.empty_members) for r in AR.structural_checks(spark, str(tmp_path)).collect()}
     assert checks["000001"] == (6, 2, 2, 1)
+    assert {r.shard: r.truncated for r in AR.structural_checks(spark, str(tmp_path)).collect()} == {"000001": False, "000002": True}
+    bare = AR.records(spark, str(tmp_path), bodies=False).collect()
+    assert {(r.shard, r.stem) for r in bare} >= {("000001", "a"), ("000001", "c")} and all(r.image is None for r in bare)
+    assert AR.scan_members(spark, str(tmp_path / "000001.tar"), pairs=1).count() == 2
     rows = spark.createDataFrame([(0, 0, bytearray(b"p"), "cap"), (0, 1, bytearray(b"q"), "tion")], "bin bigint, slot bigint, image binary, caption string")
     out = tmp_path / "out"
     AR.write_archives(rows, str(out)).collect()
@@ -65,3 +69,24 @@ def test_streams(spark, tmp_path):
     assert ST.follow(spark, str(tmp_path / "in") + "/", df, key="id").count() == 8
     got = {r.u: r.stop_at for r in ST.run_early_stops(spark, str(tmp_path / "in") + "/", df, "u", "id", "v", 3, 0.0).collect()}
     assert got["u"] is not None
+    # a second call goes on where the first stopped, and finds nothing new
+    out = f"file://{tmp_path}/kept"
+    first = ST.follow(spark, str(tmp_path / "in") + "/", df, key="id", folder=out).count()
+    df.limit(1).withColumn("id", F.lit(99).cast("bigint")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert ST.follow(spark, str(tmp_path / "in") + "/", df, key="id", folder=out).count() == first + 1
+
+
+def test_early_stop_equals_a_loop(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"k{i % 7}", float(v) if v else None) for i, v in enumerate(rng.integers(0, 30, 400))]
+    df = spark.createDataFrame(rows, "id bigint, u string, v double")
+    df.coalesce(2).write.parquet(str(tmp_path / "in"))
+    got = {r.u: (r.seen, r.stop_at) for r in ST.run_early_stops(spark, str(tmp_path / "in") + "/", df, "u", "id", "v", 6, 2.0).collect()}
+    for u in got:
+        seen, high, wait, stop = 0, None, 0, None
+        for _, k, v in rows:
+            if k == u and v is not None:
+                seen += 1
+                high, wait = (v, 0) if high is None or v > high + 2.0 else (high, wait + 1)
+                stop = seen if stop is None and wait >= 6 else stop
+        assert got[u] == (seen, stop)
