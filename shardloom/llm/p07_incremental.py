@@ -1,12 +1,11 @@
 """Problem 7: new batches checked for repeats against everything accepted before.
 
 Method: inverted index of keys. Captions that read the same are one class.
-Every class is listed under keys, pairs of its most telling words; a segment
-holds the classes of some keys. Every class that arrives with a batch is held
-against all classes before it under each of its keys: bounds on the words two
-can share leave out only pairs that cannot pass (``likeness``), the others are
-compared exactly, word by word. Addresses repeat each other if they have the
-same spelling in ``captions.resource``.
+Every class is listed under keys, small groups of its most telling words
+(``likeness``), with a signature of its words. All classes under a common key
+are held against each other by their signatures, which leave out only pairs
+that cannot pass; what remains is compared exactly, word by word. Addresses
+repeat each other if they have the same spelling in ``captions.resource``.
 
 Which record is accepted is then settled in rounds: a record is refused once an
 accepted one before it has its address, its class or a like class, and accepted
@@ -17,31 +16,28 @@ every part.
 
 from __future__ import annotations
 
-from collections import ChainMap
 from collections.abc import Iterator
-from itertools import combinations
-from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..io import table
 from ..session import stage
-from .captions import COMMON, resource, running, words
-from .likeness import Captions, Collection
+from .captions import resource, running, same_description, words
+from .likeness import Collection, phrases, possible
 
 #: Words whose frequencies are broadcast at most (under 15 MB); those beyond are joined to the captions that have them.
 VOCABULARY = 300_000
-#: Words of a class that make keys: any two captions that keep two of them meet, whatever else an edit takes away.
-TELLING = 6
-#: A word of at most so many classes is a key of its own, and needs no pairs; more frequent ones are keys in pairs.
-RARE = 1000
-#: Places of a segment of less frequent words on average, and of a hot word or key at most.
-SEGMENT = 1500
+#: Captions from which phrases are learnt, at most.
+SAMPLE = 20_000
+#: Classes of a key, or of a part of one, on average at most; and the share of classes on which such keys are looked for.
 PART = 20_000
+LOOKED_AT = 64
+#: Runs of up to so many classes are paired all at once, longer ones in blocks.
+RUN = 64
+BLOCK = 1024
 
 _COLLECTIONS: dict[str, Collection] = {}
 
@@ -98,114 +94,156 @@ def _with_rarer(classes: DataFrame, known: dict[str, int]) -> DataFrame:
     return stage(classes.join(rarer, "class", "left"), "rarer")
 
 
-def _all_known(known: dict[str, int], rarer: list[tuple[str, int]] | None):
-    return ChainMap(dict(rarer), known) if rarer else known
-
-
 def _collection(shared) -> Collection:
     """The broadcast frequencies, unpacked once per Python worker."""
     value = shared.value
     if value["id"] not in _COLLECTIONS:
         _COLLECTIONS.clear()
-        _COLLECTIONS[value["id"]] = Collection(dict(zip(value["words"], value["n"])), value["classes"])
+        _COLLECTIONS[value["id"]] = Collection(dict(zip(value["words"], value["n"])), value["classes"], *value["phrases"])
     return _COLLECTIONS[value["id"]]
 
 
-def telling_words(tokens: list[str], known: dict[str, int]) -> list[tuple[str, ...]]:
-    """Keys under which two like captions meet: the TELLING rarest words, rare ones alone, the others in all pairs.
+def share(spark: SparkSession, known: dict[str, int], total: int, phrase: tuple[dict[str, str], dict[str, tuple[str, int]]]):
+    """What a collection knows of its words, for every Python worker."""
+    return spark.sparkContext.broadcast({"id": f"{id(known)}-{total}", "words": list(known), "n": list(known.values()), "classes": total, "phrases": phrase})
+
+
+ROWS = "key bigint, class bigint, lo bigint, hi bigint, info bigint"
+
 
-    Two captions have a key in common whenever two of these words are the same
-    in both: a caption that lost some of its words keeps the others among its
-    rarest. Words that occur once, misspellings above all, can be no key.
+def key_rows(classes: DataFrame, shared, hot: dict[int, int]) -> DataFrame:
+    """ROWS: every class once per key, with its signature; ``info`` packs its other words, the batch and what the row is.
+
+    A class of batch 0 is only ever asked after. A key of ``hot`` is split into
+    parts: a class belongs to one of them and, if it arrived later, asks in all.
     """
-    first = sorted({(known[t], t) for t in tokens if t in known and t not in COMMON})[:TELLING]
-    keys: list[tuple[str, ...]] = [(t,) for n, t in first if n <= RARE]
-    keys += combinations([t for n, t in first if n > RARE], 2)
-    return keys or [(t,) for _, t in first] or [tuple(sorted(set(tokens) & COMMON)[:3])]
-
-
-def keys_of(tokens: list[str], known: dict[str, int]) -> list[int]:
-    """The keys as numbers."""
-    return [crc32(" ".join(k).encode()) for k in telling_words(tokens, known)]
-
-
-def segments_of(tokens: list[str], known: dict[str, int], segments: int) -> dict[int, list[int]]:
-    """Keys by segment: those of one first word lie together, so that a caption goes there once."""
-    out: dict[int, list[int]] = {}
-    for k in telling_words(tokens, known):
-        n = known.get(k[0], 1)
-        if n <= SEGMENT:
-            at = crc32(k[0].encode()) % segments
-        else:
-            at = (1 << 32) + crc32(f"{k[0]} {crc32(k[-1].encode()) % -(-n // PART)}".encode())
-        out.setdefault(at, []).append(crc32(" ".join(k).encode()))
-    return out
-
-
-def _like(part: pd.DataFrame, about: Collection) -> pd.DataFrame:
-    """Like classes of a segment: ``a, b``, a the one that came later or at the same time."""
-    part = part.sort_values(["batch", "class", "base"], ascending=[True, True, False], kind="stable").reset_index(drop=True)
-    batch, names = part["batch"].to_numpy(), part["class"].to_numpy()
-    base = part["base"].to_numpy("?")
-    under: dict[int, list[int]] = {}
-    for i, keys in enumerate(part["keys"]):
-        for k in keys:
-            under.setdefault(k, []).append(i)
-    groups = []
-    for rows in under.values():
-        if len(rows) > 1 and batch[rows[-1]] > 0:
-            r = np.array(rows)
-            groups.append((r[batch[r] > 0], r[base[r]]))
-    if not groups:
-        return pd.DataFrame({"a": names[:0], "b": names[:0]})
-    captions = Captions([w.split(" ") for w in part["words"]], about)
-    found = captions.like(groups, lambda i, j: batch[i] == batch[j])
-    pairs = np.array(sorted(found), "i8").reshape(-1, 2)
-    return pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
-
-
-def like_classes(classes: DataFrame) -> DataFrame:
-    """``a, b``: classes that give the same description, from ``class, words, batch`` (the class's first batch)."""
-    spark = classes.sparkSession
-    known = _frequencies(classes)
-    total = classes.count()
-    classes = _with_rarer(classes, known)
-    shared = spark.sparkContext.broadcast({"id": f"{id(known)}-{total}", "words": list(known), "n": list(known.values()), "classes": total})
+    split = classes.sparkSession.sparkContext.broadcast(hot)
+    low = (1 << 64) - 1
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _collection(shared).known
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        about, hot = _collection(shared), split.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([k for w, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k in keys_of(w.split(" "), _all_known(known, r))], pa.int64())], names=["key"])
+            names, texts, batch, rarer = (b.column(c).to_pylist() for c in range(4))
+            at, keys, base, sig = [], [], [], []
+            for i, (name, text, when, more) in enumerate(zip(names, texts, batch, rarer)):
+                tokens = text.split(" ")
+                sig.append(about.signature(tokens))
+                own = about.keys(tokens, dict(more) if more else None)
+                if hot and not hot.keys().isdisjoint(own):
+                    for k in own:
+                        parts = hot.get(k, 1)
+                        mine = name % parts
+                        for p in range(parts) if when > 0 else (mine,):
+                            keys.append((k + p * 0x9E3779B97F4A7C15) & low)
+                            at.append(i)
+                            base.append(p == mine)
+                else:
+                    keys += own
+                    at += [i] * len(own)
+                    base += [True] * len(own)
+            at_ = np.array(at, "i8")
+            lo = np.array([s[0] & low for s in sig], "u8").view("i8")
+            hi = np.array([s[0] >> 64 for s in sig], "u8").view("i8")
+            info = np.array([s[1] for s in sig], "i8") | np.minimum(np.array(batch, "i8"), 1 << 30) << 17
+            columns = [np.array(keys, "u8").view("i8"), np.array(names, "i8")[at_], lo[at_], hi[at_], info[at_] | np.array(base, "i8") << 16]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "class", "lo", "hi", "info"])
+
+    return classes.select("class", "words", "batch", "rarer").mapInArrow(run, ROWS)
+
+
+def _offers(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of equal keys, in pieces of bounded size; the rows are in order of key."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    lengths = np.diff(np.append(starts, len(key)))
+    rows = np.repeat(lengths, lengths) <= RUN
+    at = np.flatnonzero(rows)
+    for d in range(1, RUN):
+        at = at[at + d < len(key)]
+        at = at[key[at + d] == key[at]]
+        if not len(at):
+            break
+        yield at, at + d
+    for s, n in zip(starts[lengths > RUN].tolist(), lengths[lengths > RUN].tolist()):
+        for x in range(s, s + n, BLOCK):
+            own = np.arange(x, min(x + BLOCK, s + n))
+            for y in range(x, s + n, BLOCK):
+                other = np.arange(y, min(y + BLOCK, s + n))
+                i, j = np.repeat(own, len(other)), np.tile(other, len(own))
+                keep = i < j
+                yield i[keep], j[keep]
 
-    # keys are counted without their captions; only those that too many classes share are kept
-    sizes = stage(classes.select("words", "rarer").mapInArrow(keys, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")), "keys")
-    segments = max(1, (sizes.where(F.col("n") <= SEGMENT).agg(F.sum("n")).first()[0] or 0) // SEGMENT)
-    hot = dict(sizes.where(F.col("n") > PART).select("key", F.ceil(F.col("n") / PART).cast("int")).collect())  # at most keys / PART rows
-    split = spark.sparkContext.broadcast(hot)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hot = _collection(shared).known, split.value
-        for b in batches:
-            at, segment, own_keys, base = [], [], [], []
-            for i, (name, w, batch, rarer) in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)))):
-                for s, keys in segments_of(w.split(" "), _all_known(known, rarer), segments).items():
-                    own = [k for k in keys if k not in hot]
-                    if own:
-                        at.append(i), segment.append(s), own_keys.append(own), base.append(True)
-                    for k in keys:
-                        if k in hot:
-                            mine = name % hot[k]
-                            for p in range(hot[k]) if batch > 0 else (mine,):
-                                at.append(i), segment.append((1 << 50) + (k << 16) + p), own_keys.append([k]), base.append(p == mine)
-            rows = b.select(["class", "words", "batch"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int64()), *rows.columns, pa.array(own_keys, pa.list_(pa.int64())), pa.array(base, pa.bool_())], names=["segment", "class", "words", "batch", "keys", "base"])
-
-    parted = classes.select("class", "words", "batch", "rarer").mapInArrow(route, "segment bigint, class bigint, words string, batch int, keys array<bigint>, base boolean")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return _like(part, _collection(shared))
-
-    return parted.groupBy("segment").applyInPandas(run, "a bigint, b bigint").distinct()
+def offered_pairs(rows: DataFrame) -> DataFrame:
+    """``a, b``, the smaller first: classes that share a key and whose signatures let them be alike. One of them arrived later than batch 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if held is None or not held.num_rows:
+            return
+        key, name, lo, hi, info = (held.column(c).to_numpy() for c in range(5))
+        order = np.argsort(key, kind="stable")
+        key, name, info = key[order], name[order], info[order]
+        bits = lo[order].view("u8"), hi[order].view("u8")
+        free, base, later = (info & 255).astype("i4"), (info >> 16 & 1).astype("?"), info >> 17 > 0
+        found = np.empty((0, 2), "i8")
+        for i, j in _offers(key):
+            ok = (later[i] | later[j]) & (base[i] | base[j]) & (name[i] != name[j])
+            i, j = i[ok], j[ok]
+            ok = possible(bits, free, i, j)
+            a, b = name[i[ok]], name[j[ok]]
+            found = np.concatenate([found, np.column_stack([np.minimum(a, b), np.maximum(a, b)])])
+            if len(found) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+                found = found[:0]
+        found = np.unique(found, axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+    # all rows of a key come to one task; keys too large for one are split before
+    return rows.repartition("key").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def compared(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
+    """``a, b``: pairs of classes that give the same description, from ``texts`` (class, words, batch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = _collection(shared).frequent
+        for batch in batches:
+            keep = []
+            for i, (wa, ba, wb, bb) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)))):
+                a, b = wa.split(" "), wb.split(" ")
+                # the one that came later is held against the one before; in one batch either may be the first
+                if (ba >= bb and same_description(a, b, frequent)) or (bb >= ba and same_description(b, a, frequent)):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    side = lambda k: texts.select(F.col("class").alias(k), F.col("words").alias(f"w{k}"), F.col("batch").alias(f"b{k}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "ba", "wb", "bb")
+    return joined.mapInArrow(run, "a bigint, b bigint")
+
+
+def learn(classes: DataFrame) -> tuple[dict[str, int], int, tuple[dict[str, str], dict[str, tuple[str, int]]]]:
+    """Frequencies of words, the number of classes, and phrases."""
+    known, total = _frequencies(classes), classes.count()
+    # classes are hashes; about SAMPLE rows
+    some = classes.where(F.pmod("class", F.lit(max(1, -(-total // SAMPLE)))) == 0).select("words").limit(2 * SAMPLE).toArrow()
+    texts = sorted(t.split(" ") for t in some.column("words").to_pylist())
+    return known, total, phrases(texts, known, total)
+
+
+def hot_keys(classes: DataFrame, shared, part: int = PART, looked_at: int = LOOKED_AT) -> dict[int, int]:
+    """Parts of every key that more than ``part`` classes are expected to share, from one class in ``looked_at``."""
+    some = classes.where(F.pmod("class", F.lit(looked_at)) == 0)
+    counts = key_rows(some, shared, {}).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part / looked_at)
+    return {r.key & ((1 << 64) - 1): -(-r.n * looked_at // part) for r in counts.collect()}  # at most keys / part rows
+
+
+def like_classes(classes: DataFrame, part: int = PART) -> DataFrame:
+    """``a, b``: classes that give the same description, from ``class, words, batch`` (the class's first batch)."""
+    known, total, phrase = learn(classes)
+    shared = share(classes.sparkSession, known, total, phrase)
+    classes = _with_rarer(classes, known)
+    pairs = stage(offered_pairs(key_rows(classes, shared, hot_keys(classes, shared, part))), "offered")
+    return compared(pairs, classes, shared)
 
 
 def settle(records: DataFrame, like: DataFrame, rounds: int = 1000) -> DataFrame:

@@ -15,7 +15,6 @@ from shardloom.llm import p04_clusters as CL
 from shardloom.llm import p05_neighbours as NB
 from shardloom.llm import p06_cutoff as CU
 from shardloom.llm import p07_incremental as I
-from shardloom.llm import smallworld as SW
 from shardloom.llm.vectors import usable_vectors
 
 
@@ -202,18 +201,6 @@ def test_descriptions(other, same):
     assert C.same_description(C.words(BASE), C.words(other), frequent) is same
 
 
-def test_small_world_recall():
-    rng = np.random.default_rng(7)
-    x = rng.standard_normal((1500, 32)).astype("f4")
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    links = SW.build(x)
-    q = x[::10] + 0.02 * rng.standard_normal((150, 32)).astype("f4")
-    ids, _ = SW.search(x, links, q, 3, SW.tuned_beam(x, links))
-    assert (ids == (q @ x.T).argmax(axis=1)[:, None]).any(axis=1).mean() >= 0.9
-    ids, _ = SW.search(x[:2], SW.build(x[:2]), q, 3, 8)
-    assert (ids[:, 2] == -1).all()
-
-
 def test_batches_against_a_sequential_run(spark):
     rng = np.random.default_rng(9)
     colours, things, towns = "red blue green grey white".split(), "lantern kettle ladder globe drum bicycle".split(), ["Naseldale", "Rivoden", "Tamelby", "Corustow", "Pelinwick", "Dagorham", "Fisenmere"]
