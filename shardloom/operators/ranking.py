@@ -7,29 +7,59 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-def global_rank(df: DataFrame, value: Column, tiebreak: str, rank: str = "rank", total: str = "total") -> DataFrame:
-    """``rank`` from 1 by ``value`` descending, then ``tiebreak`` ascending, and the number ranked.
+def _laid_out(df: DataFrame, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows in ranges of a total order, with ``__r`` the range and ``__p`` the place in it, and per range how many rows lie before it.
 
-    Rows whose value is null are not ranked: their rank is null. Rows are laid
-    out in ranges of value and tiebreak together, from a sample of both, so
-    that neither a long tail nor a value that a third of all rows share fills
-    one range. A row's rank is the number of rows in earlier ranges plus its
-    place in its own. Only the table of ranges is ordered as a whole.
+    Ranges come from a sample of all order columns together, so that neither a
+    long tail nor a value or group of a third of all rows fills one range. Only
+    the table of ranges is ordered as a whole.
     """
-    keyed = df.withColumn("__v", value)
-    laid = keyed.where("__v IS NOT NULL").repartitionByRange(F.desc("__v"), F.asc(tiebreak)).sortWithinPartitions(F.desc("__v"), F.asc(tiebreak))
+    laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # the number of the range and the place in it
     laid = stage(laid.withColumn("__m", F.monotonically_increasing_id()), "ranked")
-    part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    laid = laid.withColumn("__r", part)
+    laid = laid.withColumn("__r", F.shiftright("__m", 33)).withColumn("__p", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m")
     over = Window.partitionBy(F.lit(0)).orderBy("__r")  # one row per range
     counts = laid.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select("__r", (F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__b"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias(total))
-    ranked = laid.join(F.broadcast(offsets), "__r").withColumn(rank, F.col("__b") + place + 1).drop("__v", "__m", "__r", "__b")
+    return laid, counts.select("__r", (F.sum("__n").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__b"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__t"))
+
+
+def global_rank(df: DataFrame, value: Column, tiebreak: str, rank: str = "rank", total: str = "total") -> DataFrame:
+    """``rank`` from 1 by ``value`` descending, then ``tiebreak`` ascending, and the number ranked.
+
+    Rows whose value is null are not ranked: their rank is null. A row's rank is
+    the number of rows in earlier ranges plus its place in its own.
+    """
+    keyed = df.withColumn("__v", value)
+    laid, offsets = _laid_out(keyed.where("__v IS NOT NULL"), [F.desc("__v"), F.asc(tiebreak)])
+    ranked = laid.join(F.broadcast(offsets), "__r").withColumn(rank, F.col("__b") + F.col("__p") + 1).withColumn(total, F.col("__t")).drop("__v", "__r", "__p", "__b", "__t")
     rest = keyed.where("__v IS NULL").drop("__v").withColumn(rank, F.lit(None).cast("bigint")).withColumn(total, F.lit(None).cast("bigint"))
     return ranked.unionByName(rest)
 
 
+def group_rank(df: DataFrame, group: list[str], order: list[Column], rank: str = "rank", total: str = "total") -> DataFrame:
+    """``rank`` from 1 inside each group by a total order, and the group's size, without a task per group.
+
+    Rows lie in ranges of group and order; a rank is the place in the whole
+    less the group's first one. A null group is a group.
+    """
+    laid, offsets = _laid_out(df, [*[F.asc(g) for g in group], *order])
+    placed = laid.join(F.broadcast(offsets.drop("__t")), "__r").withColumn("__x", F.col("__b") + F.col("__p"))
+    firsts = placed.groupBy(*group).agg(F.min("__x").alias("__f"), F.count(F.lit(1)).alias(total))
+    renamed = firsts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], "__f", total)
+    same = None
+    for i, g in enumerate(group):
+        c = F.col(g).eqNullSafe(F.col(f"__g{i}"))
+        same = c if same is None else same & c
+    return placed.join(renamed, same).withColumn(rank, F.col("__x") - F.col("__f") + 1).drop("__r", "__p", "__b", "__x", "__f", *[f"__g{i}" for i in range(len(group))])
+
+
+def group_index_values(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``group, n, <name>...``: of every group the value at index floor(share * n), from 0, of its ordered values; nulls are left out."""
+    ranked = group_rank(df.where(F.col(value).isNotNull()).select(group, value), [group], [F.asc(value)], "__k", "__n")
+    at = lambda s: F.least(F.col("__n"), F.floor(F.col("__n") * s) + 1)
+    return ranked.groupBy(group).agg(F.max("__n").alias("n"), *[F.max(F.when(F.col("__k") == at(s), F.col(value))).alias(name) for name, s in shares.items()])
+
+
 def top_share(rank: Column, total: Column, percent: float) -> Column:
     """Among the first max(1, floor(total * percent / 100)) ranks; false for unranked rows."""
     return F.coalesce(rank <= F.greatest(F.lit(1), F.floor(total * F.lit(percent) / 100)), F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import group_rank
+
 
 def _by(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -98,7 +100,7 @@ def trailing_streak(df: DataFrame, by: list[str], order: list[str], status: str,
 
 def trend_summary(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """``n, mean, low, high, first, last, slope`` by group; the slope is the least-squares one on 0, 1, 2 ..., 0 for one row."""
-    placed = df.withColumn("i", F.row_number().over(_by(by, order)) - 1)
+    placed = group_rank(df, by, [F.asc(c) for c in order], "__k", "__t").withColumn("i", F.col("__k") - 1)
     return placed.groupBy(*by).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..io import latest_rows, table
 from ..operators import comparison as C
+from ..operators import ranking as R
 from ..operators import similarity as SI
 from ..streaming.streams import windowed_counts
 
@@ -76,7 +77,8 @@ def priority_order(spark, folder):
     s = latest_rows(table(spark, folder, "shards"), "shard_id", "indexed_at")
     f = F.when(~F.isnan("final_value_score"), F.col("final_value_score"))
     s = s.select(F.coalesce(F.lower(F.trim("source")), F.lit("unknown")).alias("source"), "shard_id", f.alias("f"))
-    return s.select("source", "shard_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc_nulls_last("f"), "shard_id")).cast("bigint").alias("place"))
+    ranked = R.group_rank(s, ["source"], [F.desc_nulls_last("f"), F.asc("shard_id")], "place")
+    return ranked.select("source", "shard_id", F.col("place").cast("bigint").alias("place"))
 
 
 @query("""SELECT event_type AS metric, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..dsl.compiler import decide, evaluate
 from ..io import latest_rows, table
 from ..operators import pool as P
+from ..operators import ranking as R
 
 POOL_SQL = """pool AS (
   SELECT shard_id, path, coalesce(lower(trim(source, ' ')), 'unknown') AS source, n_images, file_size_bytes, has_light_score,
@@ -130,11 +131,9 @@ FROM pool GROUP BY 1"""
 def manifest_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of the included shards: extremes, mean, 10th and 90th value by index, median."""
     pool = P.top_percent(_pool(spark, folder), 60).where("decision = 'include'")
-    # scores in steps of their value with counts: the array is as long as there are distinct scores of one source
-    per = pool.groupBy("source").agg(F.array_sort(F.collect_list("final_value_score")).alias("v"), F.round(F.avg("final_value_score"), 10).alias("mean"), F.round(F.median("final_value_score"), 10).alias("median"))
-    n = F.size("v")
-    at = lambda share: F.round(F.element_at("v", F.least(n, F.floor(n * share).cast("int") + 1)), 10)
-    return per.select("source", n.cast("bigint").alias("n"), "mean", "median", at(0.1).alias("p10"), at(0.9).alias("p90"), F.round(F.array_min("v"), 10).alias("low"), F.round(F.array_max("v"), 10).alias("high"))
+    ends = R.group_index_values(pool, "source", "final_value_score", {"p10": 0.1, "p90": 0.9})
+    per = pool.groupBy("source").agg(*[F.round(f("final_value_score"), 10).alias(n) for n, f in (("mean", F.avg), ("median", F.median), ("low", F.min), ("high", F.max))])
+    return ends.join(per, "source").select("source", "n", "mean", "median", F.round("p10", 10).alias("p10"), F.round("p90", 10).alias("p90"), "low", "high")
 
 
 QUERIES["manifest_stats"] = manifest_stats
@@ -153,7 +152,6 @@ def source_rollup(spark: SparkSession, folder: str) -> DataFrame:
         *[F.round(F.avg(c), 10).alias(f"avg_{c}") for c in ("light_score", "aesthetic_avg", "caption_quality", "final_value_score")],
         F.count_if(F.coalesce("light_decision", F.lit("keep")) != "discard").alias("kept"),
         F.round(F.avg(F.when(F.col("has_unified") != 0, F.col("diversity_score"))), 10).alias("unified_diversity"),
-        F.round(F.count(F.lit(1)) / F.lit(1.0), 10).alias("weight"),
     )
 
 
@@ -161,7 +159,7 @@ QUERIES["source_rollup"] = source_rollup
 SQL["source_rollup"] = f"""WITH {POOL_SQL}
 SELECT source, count(*) AS shards, sum(file_size_bytes)::BIGINT AS bytes, round(avg(light_score), 10) AS avg_light_score, round(avg(aesthetic_avg), 10) AS avg_aesthetic_avg,
   round(avg(caption_quality), 10) AS avg_caption_quality, round(avg(final_value_score), 10) AS avg_final_value_score,
-  count(*) FILTER (coalesce(light_decision, 'keep') <> 'discard') AS kept, round(avg(diversity_score) FILTER (has_unified <> 0), 10) AS unified_diversity, round(count(*) / 1.0, 10) AS weight
+  count(*) FILTER (coalesce(light_decision, 'keep') <> 'discard') AS kept, round(avg(diversity_score) FILTER (has_unified <> 0), 10) AS unified_diversity
 FROM pool GROUP BY source"""
 
 
@@ -200,10 +198,8 @@ SELECT shard_id, CASE WHEN have > 0 THEN round(greatest(0, least(1, val / have))
 
 def index_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Quartiles by floor index of every source's light scores."""
-    from ..functions.numeric import index_percentile
-
-    per = _pool(spark, folder).where("light_score IS NOT NULL").groupBy("source").agg(F.array_sort(F.collect_list("light_score")).alias("v"))
-    return per.select("source", *[F.round(index_percentile(F.col("v"), s), 10).alias(f"p{int(s * 100)}") for s in (0.25, 0.5, 0.75)])
+    per = R.group_index_values(_pool(spark, folder), "source", "light_score", {f"p{int(x * 100)}": x for x in (0.25, 0.5, 0.75)})
+    return per.select("source", *[F.round(c, 10).alias(c) for c in ("p25", "p50", "p75")])
 
 
 QUERIES["index_percentiles"] = index_percentiles

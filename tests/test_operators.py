@@ -198,3 +198,15 @@ def test_with_replacement(spark):
     assert sum(p == "main" for _, p in got) == 70 and sum(p == "few" for _, p in got) == 35 and not any(p == "none" for _, p in got)
     with pytest.raises(ValueError):
         R.with_replacement(main, {"few": (few, 1.0)}, "id")
+
+
+def test_group_rank_with_a_hot_group(spark):
+    df = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"), (F.col("id") % 11).alias("v"))
+    got = R.group_rank(df, ["g"], [F.desc("v"), F.asc("id")]).collect()
+    want: dict = {}
+    for r in sorted(got, key=lambda r: (-r.v, r.id)):
+        want.setdefault(r.g, []).append(r.id)
+    assert len(got) == 9000 and all(want[r.g][r["rank"] - 1] == r.id and r.total == len(want[r.g]) for r in got)
+    per = {r.g: (r.n, r.mid) for r in R.group_index_values(df, "g", "v", {"mid": 0.5}).collect()}
+    vals = {g: sorted(i % 11 for i in ids) for g, ids in want.items()}
+    assert per == {g: (len(v), v[len(v) // 2]) for g, v in vals.items()}
