@@ -51,6 +51,10 @@ TIGHT = 0.65
 #: Vectors that fit nowhere that are broadcast at once (under 13 MB).
 CHUNK = 50_000
 REFINE = 12
+#: Features a task holds at most before it hands them on, so that its work is in proportion to its vectors, whatever the noise.
+HELD = 5000
+#: Numbers in a block of vectors by centres.
+TILE = 8_000_000
 
 
 def absorb(counts: np.ndarray, sums: np.ndarray, x: np.ndarray, w: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +143,11 @@ def _features(vectors: DataFrame) -> DataFrame:
             for start in range(0, len(x), 1000):
                 part = x[start : start + 1000]
                 counts, sums = absorb(counts, sums, part, np.ones(len(part)), ABSORB)
+                if len(counts) > HELD:
+                    counts, sums = settle(counts, sums, ABSORB)
+                    if len(counts) > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(counts), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["n", "ls"])
+                        counts, sums = np.empty(0), np.empty((0, DIMENSIONS))
         if len(counts):
             yield pa.RecordBatch.from_arrays([pa.array(counts), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["n", "ls"])
 
@@ -171,12 +180,20 @@ def _reduced(features: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return features
 
 
+def _tiles(batches: Iterator[pa.RecordBatch], centres: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces whose product with the centres is of bounded size."""
+    step = max(1, TILE // max(1, centres))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def _assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     """``rec, cluster, cos``: records near one centre and apart from all others."""
     directions = (centres / np.linalg.norm(centres, axis=1, keepdims=True)).astype("f4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _tiles(batches, len(directions)):
             s = matrix(batch.column(1)) @ directions.T
             best = s.argmax(axis=1)
             top = s[np.arange(len(s)), best]
@@ -194,7 +211,7 @@ def _means(vectors: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(directions), DIMENSIONS + 1))
-        for batch in batches:
+        for batch in _tiles(batches, len(directions)):
             x = matrix(batch.column(0))
             s = x @ directions.T
             best = s.argmax(axis=1)
@@ -220,7 +237,7 @@ def _overlooked(vectors: DataFrame, centres: np.ndarray) -> np.ndarray:
     directions = (centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)).astype("f4")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _tiles(batches, len(directions)):
             if len(directions):
                 near = (matrix(batch.column(1)) @ directions.T).max(axis=1, initial=-1) >= MEMBER
                 batch = batch.take(pa.array(np.flatnonzero(~near)))
