@@ -187,7 +187,8 @@ def mix_sources(
     runs = spark.range(0, leaves, 1, min(leaves, 4 * parallelism(spark))).mapInPandas(descend, "out_shard bigint, number int, start bigint, count bigint")
     slots = runs.select("out_shard", "number", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)).alias("position"))
     local = Window.partitionBy("out_shard").orderBy(F.xxhash64(F.lit(seed + 1), "h"), "number", "position")
-    mix = slots.join(placed, ["number", "position"]).select(
+    # both sides grow with the mix; the planner takes the tree's leaves for a small table
+    mix = slots.hint("merge").join(placed, ["number", "position"]).select(
         "out_shard", (F.row_number().over(local) - 1).alias("slot"), "source_key", "shard_id", "repeat_no", "first_image", "n_images"
     )
 
