@@ -201,7 +201,7 @@ def mix_sources(
     report = (
         head.join(given, "source_key", "left")
         .withColumn("actual", F.coalesce("actual", F.lit(0)))
-        .withColumn("short", (F.col("actual") >= F.col("most")) & (F.col("actual") * 100 < F.col("percent") * F.lit(total)))
+        .withColumn("short", (F.col("actual") >= F.col("most")) & (F.col("actual") * 100 < F.col("percent") * F.lit(total).cast("bigint")))
         .withColumn("actual_pct", F.round(F.try_divide(F.col("actual") * 100.0, F.sum("actual").over(sum_all)), 4))
         .select("source", "target_pct", "max_repeats", "images", "wanted", "short", "actual", "actual_pct")
     )

@@ -98,6 +98,15 @@ def test_mixture(spark):
     assert M.mix_sources(shards.limit(0), targets)[0].count() == 0
 
 
+def test_mix_of_more_images_than_an_int_holds_in_percent(spark):
+    shards = spark.createDataFrame([("a", "big", 300_000_000), ("b", "small", 100_000_000)], "shard_id string, source_key string, n_images bigint")
+    targets = spark.createDataFrame([("Big", "big", 60, 1), ("Small", "small", 40, 1)], "source string, source_key string, target_pct int, max_repeats int")
+    for times in (1, 10):  # percent of a total that is an int, and of one that is not
+        grown = shards.withColumn("n_images", F.col("n_images") * times)
+        report = M.mix_sources(grown, targets, block=1_000_000 * times, out_shard=10_000_000 * times)[1]
+        assert {(r.source, r.actual, r.short) for r in report.collect()} == {("Big", 300_000_000 * times, False), ("Small", 100_000_000 * times, True)}
+
+
 def test_cutoffs(spark):
     rng = np.random.default_rng(5)
     rows = [("a", float(v) / 20) for v in rng.integers(0, 21, 300)] + [("b", 0.5)] * 7 + [("c", None), (None, 0.3)]
