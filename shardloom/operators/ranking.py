@@ -31,7 +31,9 @@ def global_rank(df: DataFrame, value: Column, tiebreak: str, rank: str = "rank",
     """
     keyed = df.withColumn("__v", value)
     laid, offsets = _laid_out(keyed.where("__v IS NOT NULL"), [F.desc("__v"), F.asc(tiebreak)])
-    ranked = laid.join(F.broadcast(offsets), "__r").withColumn(rank, F.col("__b") + F.col("__p") + 1).withColumn(total, F.col("__t")).drop("__v", "__r", "__p", "__b", "__t")
+    # rank and total may have any names, also those used here
+    own = [F.col(f"`{c}`") for c in df.columns if c not in (rank, total)]
+    ranked = laid.join(F.broadcast(offsets), "__r").select(*own, (F.col("__b") + F.col("__p") + 1).alias(rank), F.col("__t").alias(total))
     rest = keyed.where("__v IS NULL").drop("__v").withColumn(rank, F.lit(None).cast("bigint")).withColumn(total, F.lit(None).cast("bigint"))
     return ranked.unionByName(rest)
 

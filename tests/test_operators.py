@@ -185,6 +185,12 @@ def test_caption_quality_by_hand(spark):
     assert all(abs(r.q - max(0, r.want)) < 1e-9 for r in df.select("want", T.caption_quality(F.col("t")).alias("q")).collect())
 
 
+def test_global_rank_may_name_its_columns_as_it_likes(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, 7.0), (3, None)], "id long, v double")
+    assert rows(R.global_rank(df, F.col("v"), "id", "__p", "__t").select("id", "__p", "__t")) == [(1, 2, 2), (2, 1, 2), (3, None, None)]
+    assert rows(R.global_rank(df, F.col("v"), "id", "__k", "__b").select("id", "__k", "__b")) == [(1, 2, 2), (2, 1, 2), (3, None, None)]
+
+
 def test_global_rank_splits_ties(spark):
     df = spark.range(20_000).select(F.format_string("%06d", F.col("id")).alias("id"), F.when(F.col("id") % 3 > 0, 1.0).otherwise(F.col("id") * 1e6).alias("v"))
     got = R.global_rank(df, F.col("v"), "id").orderBy("rank").collect()
