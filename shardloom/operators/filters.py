@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import caption_valid, word_count
-from .ranking import global_rank, seeded_order
+from .ranking import ordered_place, seeded_order
 
 
 def drop_reason(caption: Column, width: Column, height: Column, min_words: int = 5, min_side: int = 256) -> Column:
@@ -99,9 +99,9 @@ def pack(df: DataFrame, key: str, size: int, ranges: int = 512) -> DataFrame:
 
 
 def pack_in_order(df: DataFrame, key: str, size: int) -> DataFrame:
-    """``bin, slot``: rows in order of a numeric key into shards of ``size`` rows, the last one partial; keys are unique."""
-    ranked = global_rank(df, -F.col(key), key, "__k", "__t")
-    return ranked.withColumn("bin", F.floor((F.col("__k") - 1) / size)).withColumn("slot", F.pmod(F.col("__k") - 1, F.lit(size))).drop("__k", "__t")
+    """``bin, slot``: rows in order of key, a null one last, into shards of ``size`` rows, the last one partial; keys are unique."""
+    placed = ordered_place(df, [F.asc_nulls_last(key)], "__k")
+    return placed.withColumn("bin", F.floor(F.col("__k") / size)).withColumn("slot", F.pmod("__k", F.lit(size))).drop("__k")
 
 
 def random_cap(df: DataFrame, group: str, key: str, n: int, seed: int = 42, allowed: DataFrame | None = None) -> DataFrame:

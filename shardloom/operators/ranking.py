@@ -38,6 +38,13 @@ def global_rank(df: DataFrame, value: Column, tiebreak: str, rank: str = "rank",
     return ranked.unionByName(rest)
 
 
+def ordered_place(df: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
+    """``place`` from 0 of every row in a total order."""
+    laid, offsets = _laid_out(df, order)
+    own = [F.col(f"`{c}`") for c in df.columns if c != place]
+    return laid.join(F.broadcast(offsets), "__r").select(*own, (F.col("__b") + F.col("__p")).alias(place))
+
+
 def group_rank(df: DataFrame, group: list[str], order: list[Column], rank: str = "rank", total: str = "total") -> DataFrame:
     """``rank`` from 1 inside each group by a total order, and the group's size, without a task per group.
 

@@ -191,6 +191,14 @@ def test_global_rank_may_name_its_columns_as_it_likes(spark):
     assert rows(R.global_rank(df, F.col("v"), "id", "__k", "__b").select("id", "__k", "__b")) == [(1, 2, 2), (2, 1, 2), (3, None, None)]
 
 
+def test_pack_in_order_counts_a_null_key_last(spark):
+    low = -(1 << 63)
+    df = spark.createDataFrame([(k,) for k in [5, None, low, 9, -2, 7, 0]], "id long")
+    got = {r.id: (r.bin, r.slot) for r in FI.pack_in_order(df, "id", 3).collect()}
+    assert got == {low: (0, 0), -2: (0, 1), 0: (0, 2), 5: (1, 0), 7: (1, 1), 9: (1, 2), None: (2, 0)}
+    assert FI.pack_in_order(df.limit(0), "id", 3).count() == 0
+
+
 def test_global_rank_splits_ties(spark):
     df = spark.range(20_000).select(F.format_string("%06d", F.col("id")).alias("id"), F.when(F.col("id") % 3 > 0, 1.0).otherwise(F.col("id") * 1e6).alias("v"))
     got = R.global_rank(df, F.col("v"), "id").orderBy("rank").collect()
