@@ -7,6 +7,8 @@ from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .captions import ADDED, COMMON
 
@@ -33,50 +35,115 @@ SIBLINGS = 1000
 AT_HOME = 0.9
 
 
-def phrases(texts: list[list[str]], known: dict[str, int], classes: int) -> tuple[dict[str, str], dict[str, tuple[str, int]]]:
-    """The phrase of every frequent word that nearly always comes with another, and the words that belong to one phrase, from a sample of captions.
-
-    Words of a phrase tell no more together than one of them does. A word that
-    is found with one phrase alone tells as much as its share of that phrase's
-    captions; the second result has the phrase and the number of those. The
-    sample only decides which words make keys; every caption is compared by its keys.
-    """
+def often_words(known: dict[str, int], classes: int) -> dict[str, int]:
+    """A number for every word that is looked at for phrases, the most frequent first."""
     often = [w for w, n in known.items() if n > classes / OFTEN_SHARE and w not in COMMON]
-    number = {w: i for i, w in enumerate(often)}
-    seen = np.zeros((len(texts), len(often)), "f4")
-    for r, words in enumerate(texts):
-        seen[r, [number[w] for w in set(words) if w in number]] = 1
-    both = seen.T @ seen
-    single = np.diag(both)
-    linked = np.triu((both >= TOGETHER * np.maximum(single[:, None], single[None, :])) & (both >= SEEN), 1)
-    root = list(range(len(often)))
+    return {w: i for i, w in enumerate(sorted(often, key=lambda w: -known[w]))}
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Like ``np.unique``, whose table is slower than a sort of what is nearly in order."""
+    x = np.sort(x, kind="stable")
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _numbered(texts: pa.ListArray, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and number of every frequent word, once a text, in order."""
+    at = pc.index_in(texts.flatten(), value_set=pa.array(list(number), pa.string())).fill_null(-1).to_numpy().astype("i8")
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(texts).to_numpy())
+    both = _distinct((row * len(number) + at)[at >= 0])
+    return both // len(number), both % len(number)
+
+
+def pairs_of(texts: pa.ListArray, number: dict[str, int], known: dict[str, int]) -> np.ndarray:
+    """Every two frequent words of a text that can be linked, as a code: the smaller number times that of all words, and the other."""
+    row, word = _numbered(texts, number)
+    single = -np.array([known[w] for w in number])
+    # a word is linked to none that has less than its share of captions
+    reach = np.searchsorted(single, single * TOGETHER, "right") - 1
+    at, out = np.arange(len(row)), [np.empty(0, "i8")]
+    for d in range(1, len(row)):
+        at = at[at + d < len(row)]
+        at = at[(row[at + d] == row[at]) & (word[at + d] <= reach[word[at]])]
+        if not len(at):
+            break
+        out.append(word[at] * len(number) + word[at + d])
+    return np.concatenate(out)
+
+
+def homes_of(texts: pa.ListArray, number: dict[str, int], phrase: np.ndarray) -> np.ndarray:
+    """Every phrase of a text with every frequent word of it, as a code like a pair's; ``phrase`` has the phrase of each word, -1 for none."""
+    row, word = _numbered(texts, number)
+    inside = np.flatnonzero(phrase[word] >= 0)
+    held = _distinct(row[inside] * len(number) + phrase[word[inside]])
+    at, which = held // len(number), held % len(number)
+    starts = np.searchsorted(row, np.arange(len(texts) + 1))
+    first, size = starts[at], np.diff(starts)[at]
+    places = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+    return np.repeat(which, size) * len(number) + word[places]
+
+
+def tally(codes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every code once and how often it came."""
+    if words <= 2048:
+        n = np.bincount(codes, minlength=1)
+        found = np.flatnonzero(n)
+        return found, n[found]
+    return np.unique(codes, return_counts=True)
+
+
+def linked_words(number: dict[str, int], known: dict[str, int], pairs: dict[int, int]) -> np.ndarray:
+    """The phrase of every frequent word, named by its first word's number, -1 for none; from how many captions have each pair."""
+    single = [known[w] for w in number]
+    root = list(range(len(number)))
 
     def find(i: int) -> int:
         while root[i] != i:
             i = root[i]
         return i
 
-    for i, j in zip(*np.nonzero(linked)):
-        a, b = sorted((find(i), find(j)))
-        root[b] = a
-    members = defaultdict(list)
-    for i, w in enumerate(often):
-        members[find(i)].append(w)
-    unit = {w: f"{often[r]} +" for r, ws in members.items() if len(ws) > 1 for w in ws}
+    for code, n in sorted(pairs.items()):
+        i, j = divmod(code, len(number))
+        if n >= SEEN and n >= TOGETHER * max(single[i], single[j]):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    at = [find(i) for i in range(len(number))]
+    members = np.bincount(at, minlength=len(at))
+    return np.array([r if members[r] > 1 else -1 for r in at], "i8")
+
+
+def named(number: dict[str, int], known: dict[str, int], phrase: np.ndarray, inside: dict[int, int]) -> tuple[dict[str, str], dict[str, tuple[str, int]]]:
+    """What ``phrases`` gives; ``inside`` has how many captions of each phrase have each word."""
+    often = list(number)
+    unit = {w: f"{often[r]} +" for w, r in zip(often, phrase.tolist()) if r >= 0}
+    most: dict[int, int] = defaultdict(int)
+    for w, r in zip(often, phrase.tolist()):
+        most[r] = max(most[r], known[w])
     homes: dict[str, tuple[str, int]] = {}
-    for ws in members.values():
-        if len(ws) > 1:
-            at = [number[w] for w in ws]
-            size = max(known[w] for w in ws)
-            held = seen[:, at].max(axis=1)
-            inside = (held @ seen) >= AT_HOME * np.maximum(single, SEEN)
-            for i in np.flatnonzero(inside):
-                if known[often[i]] <= size:
-                    name = unit.get(often[i], often[i])
-                    homes[name] = max((unit[ws[0]], size), homes.get(name, ("", 0)), key=lambda h: h[1])
+    for code, n in sorted(inside.items()):
+        r, i = divmod(code, len(often))
+        size = most[r]
+        if n >= AT_HOME * max(known[often[i]], SEEN) and known[often[i]] <= size:
+            name = unit.get(often[i], often[i])
+            homes[name] = max((unit[often[r]], size), homes.get(name, ("", 0)), key=lambda h: h[1])
     return unit, homes
 
 
+def phrases(texts: list[list[str]], known: dict[str, int], classes: int) -> tuple[dict[str, str], dict[str, tuple[str, int]]]:
+    """The phrase of every frequent word that nearly always comes with another, and the words that belong to one phrase, from all captions.
+
+    Words of a phrase tell no more together than one of them does. A word that
+    is found with one phrase alone tells as much as its share of that phrase's
+    captions; the second result has the phrase and the number of those.
+    ``p07_incremental.learn`` makes the same counts in tasks.
+    """
+    number = often_words(known, classes)
+    rows = pa.array(texts, pa.list_(pa.string()))
+    counted = lambda codes: dict(zip(*(c.tolist() for c in tally(codes, len(number)))))
+    phrase = linked_words(number, known, counted(pairs_of(rows, number, known)))
+    return named(number, known, phrase, counted(homes_of(rows, number, phrase)))
+
+
 class Collection:
     """How frequent the words of a collection are, which make phrases, and what captions they belong to."""
 

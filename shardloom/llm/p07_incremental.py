@@ -20,18 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..io import table
 from ..session import stage
 from .captions import resource, running, same_description, words
-from .likeness import Collection, phrases, possible
+from .likeness import AT_HOME, SEEN, TOGETHER, Collection, homes_of, linked_words, named, often_words, pairs_of, possible, tally
 
 #: Words whose frequencies are broadcast at most (under 15 MB); those beyond are joined to the captions that have them.
 VOCABULARY = 300_000
-#: Captions from which phrases are learnt, at most.
-SAMPLE = 20_000
+#: Codes that a task holds before it sums them up.
+COUNTED = 4_000_000
 #: Classes of a key, or of a part of one, on average at most; and the share of classes on which such keys are looked for.
 PART = 20_000
 LOOKED_AT = 64
@@ -221,13 +222,44 @@ def compared(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
+def _tallied(classes: DataFrame, codes, words: int, least: float) -> dict[int, int]:
+    """How many classes have every code that ``codes`` finds in a list of texts, of those that at least ``least`` have.
+
+    Counted over all classes. A class has few codes, so those that a fixed share
+    of all classes has do not become more with the data.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed() -> pa.RecordBatch:
+            code, n = tally(np.concatenate(held), words)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(codes(pc.split_pattern(batch.column(0), " ")))
+            if sum(map(len, held)) > COUNTED:
+                yield summed()
+        if held:
+            yield summed()
+
+    found = classes.select("words").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    return dict(zip(found.column("code").to_pylist(), found.column("n").to_pylist()))
+
+
 def learn(classes: DataFrame) -> tuple[dict[str, int], int, tuple[dict[str, str], dict[str, tuple[str, int]]]]:
-    """Frequencies of words, the number of classes, and phrases."""
+    """Frequencies of words, the number of classes, and phrases, all from every class."""
     known, total = _frequencies(classes), classes.count()
-    # classes are hashes; about SAMPLE rows
-    some = classes.where(F.pmod("class", F.lit(max(1, -(-total // SAMPLE)))) == 0).select("words").limit(2 * SAMPLE).toArrow()
-    texts = sorted(t.split(" ") for t in some.column("words").to_pylist())
-    return known, total, phrases(texts, known, total)
+    number = often_words(known, total)
+    if not number:
+        return known, total, ({}, {})
+    # a task gets the counts of the frequent words only
+    known_often = {w: known[w] for w in number}
+    least = min(known_often.values())
+    phrase = linked_words(number, known, _tallied(classes, lambda texts: pairs_of(texts, number, known_often), len(number), max(SEEN, TOGETHER * least)))
+    if (phrase < 0).all():
+        return known, total, ({}, {})
+    return known, total, named(number, known, phrase, _tallied(classes, lambda texts: homes_of(texts, number, phrase), len(number), AT_HOME * max(SEEN, least)))
 
 
 def hot_keys(classes: DataFrame, shared, part: int = PART, looked_at: int = LOOKED_AT) -> dict[int, int]:

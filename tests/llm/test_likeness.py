@@ -147,6 +147,16 @@ def test_hot_keys_are_split(spark):
     assert whole == {tuple(sorted((r.a, r.b))) for r in I.like_classes(df, part=2000).collect()} and len(whole) > 10_000
 
 
+def test_phrases_are_learnt_from_every_class(spark):
+    # mill and river always come together, in odd classes only; tower and bridge do in even ones and not in odd ones
+    own = {0: "tower bridge", 1: "mill river", 3: "tower", 9: "tower", 15: "tower", 5: "bridge", 11: "bridge", 17: "bridge", 7: "mill river"}
+    texts = [f"{own.get(i % 30, 'the')} word{i}{' quarry' if i % 60 == 7 else ''}".split(" ") for i in range(30_000)]
+    df = spark.createDataFrame([(i, " ".join(t), 0) for i, t in enumerate(texts)], "class bigint, words string, batch int")
+    known, total, (unit, homes) = I.learn(df)
+    assert total == 30_000 and unit == {"mill": "mill +", "river": "mill +"} and homes["quarry"] == ("mill +", 2000)
+    assert (unit, homes) == phrases(texts, known, total)
+
+
 def test_keys_stay_few(spark):
     texts = hot_template(3000)
     known = frequencies(texts)
