@@ -96,6 +96,24 @@ def curve_windows(anchors: np.ndarray, counts: np.ndarray, curve: int, least: in
     return window
 
 
+def anchor_homes(anchors: np.ndarray, counts: np.ndarray, curves: int, least: int) -> list[set[int]]:
+    """The places where the vectors of every anchor are compared, however many they are.
+
+    All anchors of a window on any curve meet at the one with the most vectors,
+    so that a large anchor's vectors go to one place and its neighbours come there.
+    """
+    homes: list[set[int]] = [set() for _ in anchors]
+    largest = np.argsort(-counts, kind="stable")
+    for curve in range(curves):
+        windows = curve_windows(anchors, counts, curve, least)
+        host: dict[int, int] = {}
+        for a in largest:
+            host.setdefault(int(windows[a]), int(a))
+        for a, w in enumerate(windows):
+            homes[a].add(host[int(w)])
+    return homes
+
+
 def nearest(x: np.ndarray, y: np.ndarray, k: int, same: bool, tile: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of at least the ``k`` best columns of every row of ``x @ y.T``.
 
@@ -217,17 +235,7 @@ def top_neighbours(vectors: DataFrame, k: int = K, sample: int = SAMPLE, window:
     own = np.zeros(len(anchors), "i8")
     for r in placed.groupBy(F.col("near")[0].alias("a")).agg(F.count(F.lit(1)).alias("n")).collect():  # one row per anchor
         own[r.a] = r.n
-    # every anchor's windows: a large anchor has one of its own, on the first curve only
-    homes: list[set[int]] = [set() for _ in anchors]
-    base = 0
-    for curve in range(curves):
-        w = curve_windows(anchors.astype("f8"), own, curve, window) + base
-        for a in range(len(anchors)):
-            if own[a] >= window:
-                homes[a] = {-1 - a}
-            else:
-                homes[a].add(int(w[a]))
-        base = int(w.max()) + 1
+    homes = anchor_homes(anchors.astype("f8"), own, curves, window)
     members: dict[int, int] = {}
     for a, hs in enumerate(homes):
         for h in hs:

@@ -168,6 +168,20 @@ def test_neighbours_against_brute_force(table_of_vectors, block):
     assert sum(len(want[k] & got[k]) for k in want) / (5 * len(want)) >= 0.9
 
 
+def test_neighbours_of_a_large_anchor_do_not_depend_on_its_size(spark):
+    # three records whose other neighbours are 60 around another direction, fewer or more than a window has
+    rng = np.random.default_rng(4)
+    big, small = np.eye(64)[0], 0.6 * np.eye(64)[0] + 0.8 * np.eye(64)[1]
+    x = np.concatenate([big + 0.02 * rng.standard_normal((60, 64)), small + 0.02 * rng.standard_normal((3, 64))]).astype("f4")
+    u = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    s = (u @ u.T).round(9)
+    np.fill_diagonal(s, -2)
+    want = {(f"r{i:02d}", f"r{j:02d}") for i in range(63) for j in np.argsort(-s[i], kind="stable")[:5]}
+    df = usable_vectors(spark.createDataFrame([(f"r{i:02d}", v.tolist(), 1) for i, v in enumerate(x)], "rec_id string, vec array<float>, encoded_at int"))
+    for window in (100, 50):
+        assert {(r.rec, r.other) for r in NB.top_neighbours(df, window=window).collect()} == want
+
+
 @pytest.mark.parametrize("block", [12_000, 700])
 def test_neighbours_of_copies(spark, block):
     rng = np.random.default_rng(8)
